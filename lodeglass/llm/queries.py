@@ -4,11 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeglass.llm.credentials import credentials, mask_credentials
+from lodeglass.llm.handwritten import file_origins
 from lodeglass.llm.leakage import leaked_passages, leaks_by_item
 from lodeglass.llm.personal import personal_spans, redact_personal
 from lodeglass.session import table
 
 
+def p1_origins(spark: SparkSession, root: str) -> DataFrame:
+    return file_origins(table(spark, root, "files"), table(spark, root, "file_content"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return p1_origins(spark, root).where("origin is not null").select("file_id").distinct()
+
+
+def p2_credentials(spark: SparkSession, root: str) -> DataFrame:
+    return credentials(table(spark, root, "files"), table(spark, root, "file_content"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return p2_credentials(spark, root).select("file_id", "line_no").distinct()
+
+
+def p2_masked(spark: SparkSession, root: str) -> DataFrame:
+    contents = table(spark, root, "file_content").select("file_id", "path", "content").distinct()
+    return mask_credentials(contents, credentials(table(spark, root, "files"), contents))
+
+
 def p9_passages(spark: SparkSession, root: str) -> DataFrame:
     return leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
@@ -30,7 +53,7 @@ def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p9_found, p9_passages, p9_items, p10_found, p10_redacted)
+    own = (p1_found, p1_origins, p2_found, p2_credentials, p2_masked, p9_found, p9_passages, p9_items, p10_found, p10_redacted)
     return {f.__name__: f for f in own}
 
 
