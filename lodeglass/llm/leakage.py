@@ -28,8 +28,10 @@ _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,200}>")
 _ENTITY = re.compile(r"&(?:#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z]{2,8});")
 _ESCAPE = re.compile(r"\\[nrt]")
 _NOT_WORD = re.compile(r"[\W_]+")
-_DROP = re.compile(r"[^\w\s]+|_+")
-_INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+_ASCII_MARKS = re.compile(r"[!-/:-@\[-`{-~]+")
+_OTHER_MARKS = re.compile(r"[^\w\s]+")
+_INVISIBLE = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
+_FOREIGN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff\u0370-\u052f]")
 
 
 def _plain(word: str) -> str:
@@ -66,10 +68,11 @@ def folded(text: str) -> str:
     if "&" in text and _ENTITY.search(text):
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE).casefold().translate(LOOKALIKES)
-    else:
-        text = text.casefold()
-    return f" {' '.join(_DROP.sub('', text).split())} "
+        text = unicodedata.normalize("NFKC", text)
+        if _FOREIGN.search(text):
+            text = text.translate(_INVISIBLE).casefold().translate(LOOKALIKES)
+        text = _OTHER_MARKS.sub("", text.casefold())
+    return f" {' '.join(_ASCII_MARKS.sub('', text.casefold()).split())} "
 
 
 def _sentence_ends(text: str) -> list[int]:
@@ -121,25 +124,23 @@ def passages(text: str, items: tuple, passage: int, replaced: int) -> list[tuple
     """(item, words, start, end) of the longest leaked passage of each item; start and end are places in the text."""
     run = run_length(passage, replaced)
     a = _automaton(items, run)
-    if len(a) == 0 or not any(True for _ in a.iter(folded(text))):
+    if len(a) == 0:
         return []
-    words = words_at(text)
-    line, at, starts = [" "], 1, {}
-    for k, (w, _, _) in enumerate(words):
-        starts[at] = k
-        line.append(w + " ")
-        at += len(w) + 1
-    joined = "".join(line)
-    diagonals = set()
-    for end, places in a.iter(joined):
+    line = folded(text)
+    hits = [(end, places) for end, places in a.iter(line)]
+    if not hits:
+        return []
+    words = line.split()
+    diagonals, at, seen = set(), 0, 0
+    for end, places in hits:
+        seen, at = seen + line.count(" ", at, end), end  # words that end before the last of the run does
         for k, j in places:
-            width = sum(map(len, items[k][1][j : j + run])) + run - 1
-            diagonals.add((k, starts[end - width] - j))
+            diagonals.add((k, seen - run - j))
     best: dict[int, tuple[int, int, int]] = {}
     for k, off in diagonals:
         _, own, first = items[k]
         lo, hi = max(first, -off), min(len(own), len(words) - off)
-        same = [own[j] == words[j + off][0] for j in range(lo, hi)]
+        same = [own[j] == words[j + off] for j in range(lo, hi)]
         good = [False] * len(same)
         wrong = sum(not x for x in same[:passage])
         for s in range(len(same) - passage + 1):
@@ -156,9 +157,12 @@ def passages(text: str, items: tuple, passage: int, replaced: int) -> list[tuple
             while e < len(good) and good[e]:
                 e += 1
             if e - s > best.get(k, (0, 0, 0))[0]:
-                best[k] = (e - s, words[lo + s + off][1], words[lo + e - 1 + off][2])
+                best[k] = (e - s, lo + s + off, lo + e - 1 + off)
             s = e
-    return [(k, *v) for k, v in sorted(best.items())]
+    if not best:
+        return []
+    places = words_at(text)
+    return [(k, n, places[first][1], places[last][2]) for k, (n, first, last) in sorted(best.items())]
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 20, replaced: int = 3, block: int = 5_000) -> DataFrame:
