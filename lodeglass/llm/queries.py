@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeglass.llm.credentials import credentials, mask_credentials
+from lodeglass.llm.documented import documented_functions, with_code
 from lodeglass.llm.handwritten import file_origins
 from lodeglass.llm.leakage import leaked_passages, leaks_by_item
+from lodeglass.llm.packing import fill, pack_documents
 from lodeglass.llm.personal import personal_spans, redact_personal
+from lodeglass.llm.pieces import split_oversized
 from lodeglass.session import table
 
 
@@ -32,6 +35,31 @@ def p2_masked(spark: SparkSession, root: str) -> DataFrame:
     return mask_credentials(contents, credentials(table(spark, root, "files"), contents))
 
 
+def p5_pairs(spark: SparkSession, root: str) -> DataFrame:
+    symbols = table(spark, root, "symbols")
+    return with_code(documented_functions(symbols, table(spark, root, "file_content")), symbols)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return documented_functions(table(spark, root, "symbols"), table(spark, root, "file_content")).select("symbol_id").distinct()
+
+
+def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return split_oversized(table(spark, root, "file_content"), table(spark, root, "symbols"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return p7_pieces(spark, root).select("item_kind", "item_key").distinct()
+
+
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    return pack_documents(table(spark, root, "documents"))
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    return fill(p8_containers(spark, root))
+
+
 def p9_passages(spark: SparkSession, root: str) -> DataFrame:
     return leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
@@ -52,10 +80,16 @@ def p10_redacted(spark: SparkSession, root: str) -> DataFrame:
     return redact_personal(table(spark, root, "documents")).select("doc_id", "text", "pii_found")
 
 
+_P7 = """
+SELECT DISTINCT 'file' AS item_kind, CAST(file_id AS VARCHAR) AS item_key FROM file_content WHERE strlen(content) > 24000
+UNION SELECT DISTINCT 'symbol', id FROM symbols WHERE end_byte - start_byte > 24000
+"""
+
+
 def queries() -> dict:
-    own = (p1_found, p1_origins, p2_found, p2_credentials, p2_masked, p9_found, p9_passages, p9_items, p10_found, p10_redacted)
+    own = (p1_found, p1_origins, p2_found, p2_credentials, p2_masked, p5_found, p5_pairs, p7_found, p7_pieces, p8_containers, p8_fill, p9_found, p9_passages, p9_items, p10_found, p10_redacted)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"p7_found": _P7}
