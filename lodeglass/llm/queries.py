@@ -11,6 +11,7 @@ from lodeglass.llm.leakage import leaked_passages, leaks_by_item
 from lodeglass.llm.packing import fill, pack_documents
 from lodeglass.llm.personal import personal_spans, redact_personal
 from lodeglass.llm.pieces import split_oversized
+from lodeglass.llm.validity import acceptance, parsed_files, parser_disagreement
 from lodeglass.session import table
 
 
@@ -35,6 +36,22 @@ def p2_masked(spark: SparkSession, root: str) -> DataFrame:
     return mask_credentials(contents, credentials(table(spark, root, "files"), contents))
 
 
+def p4_parsed(spark: SparkSession, root: str) -> DataFrame:
+    return parsed_files(table(spark, root, "files"), table(spark, root, "file_content"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return p4_parsed(spark, root).where("not valid").select("file_id").distinct()
+
+
+def p4_rates(spark: SparkSession, root: str) -> DataFrame:
+    return acceptance(p4_parsed(spark, root))
+
+
+def p4_disagreement(spark: SparkSession, root: str) -> DataFrame:
+    return parser_disagreement(p4_parsed(spark, root), table(spark, root, "files"))
+
+
 def p5_pairs(spark: SparkSession, root: str) -> DataFrame:
     symbols = table(spark, root, "symbols")
     return with_code(documented_functions(symbols, table(spark, root, "file_content")), symbols)
@@ -87,7 +104,7 @@ UNION SELECT DISTINCT 'symbol', id FROM symbols WHERE end_byte - start_byte > 24
 
 
 def queries() -> dict:
-    own = (p1_found, p1_origins, p2_found, p2_credentials, p2_masked, p5_found, p5_pairs, p7_found, p7_pieces, p8_containers, p8_fill, p9_found, p9_passages, p9_items, p10_found, p10_redacted)
+    own = (p1_found, p1_origins, p2_found, p2_credentials, p2_masked, p4_found, p4_parsed, p4_rates, p4_disagreement, p5_found, p5_pairs, p7_found, p7_pieces, p8_containers, p8_fill, p9_found, p9_passages, p9_items, p10_found, p10_redacted)
     return {f.__name__: f for f in own}
 
 
