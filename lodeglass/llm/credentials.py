@@ -384,9 +384,9 @@ def credentials(files: DataFrame, contents: DataFrame, *, max_owners: int = 5, b
 
 
 def mask_credentials(contents: DataFrame, found: DataFrame) -> DataFrame:
-    """The contents with all credentials of `found` starred out, and their number in column `masked`; null contents
-    stay null. Lengths don't change, so byte offsets of symbols stay true. Found places are gathered per file."""
-    places = found.where("line_no > 0").groupBy("file_id").agg(F.flatten(F.collect_set("pieces")).alias("_pieces"), F.count_distinct("start_char").cast("int").alias("_n"))
+    """The contents with all credentials of `found` starred out, and their number in column `masked`, which
+    replaces one of that name; null contents stay null. Lengths don't change, so byte offsets of symbols stay true. Found places are gathered per file."""
+    places = found.where("line_no > 0").groupBy("file_id").agg(F.flatten(F.collect_set("pieces")).alias("__pieces__"), F.count_distinct("start_char").cast("int").alias("__n__"))
 
     @F.pandas_udf("string")
     def star(texts, pieces):
@@ -394,5 +394,5 @@ def mask_credentials(contents: DataFrame, found: DataFrame) -> DataFrame:
 
         return pd.Series([t if t is None or p is None or not len(p) else masked(t, list(zip(p[0::2], p[1::2]))) for t, p in zip(texts, pieces)], dtype=object)
 
-    joined = contents.join(places, "file_id", "left")
-    return joined.withColumn("content", star("content", "_pieces")).withColumn("masked", F.coalesce("_n", F.lit(0))).drop("_pieces", "_n")
+    joined = contents.drop("__pieces__", "__n__", "masked").join(places, "file_id", "left")
+    return joined.withColumn("content", star("content", "__pieces__")).withColumn("masked", F.coalesce("__n__", F.lit(0))).drop("__pieces__", "__n__")

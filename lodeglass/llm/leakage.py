@@ -156,8 +156,10 @@ def passages(text: str, items: tuple, passage: int, replaced: int) -> list[tuple
             e = s
             while e < len(good) and good[e]:
                 e += 1
-            if e - s > best.get(k, (0, 0, 0))[0]:
-                best[k] = (e - s, lo + s + off, lo + e - 1 + off)
+            first_same = next(x for x in range(s, e) if same[x])
+            last_same = next(x for x in range(e - 1, s - 1, -1) if same[x])
+            if last_same + 1 - first_same > best.get(k, (0, 0, 0))[0]:
+                best[k] = (last_same + 1 - first_same, lo + first_same + off, lo + last_same + off)
             s = e
     if not best:
         return []
@@ -167,7 +169,7 @@ def passages(text: str, items: tuple, passage: int, replaced: int) -> list[tuple
 
 def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 20, replaced: int = 3, block: int = 5_000) -> DataFrame:
     """One row for each document and item of which the document holds `passage` or more successive words, in order, at
-    most `replaced` in any `passage` exchanged: ids, item_words, start_char and end_char of the longest such passage.
+    most `replaced` in any `passage` exchanged: ids, item_words, start_char and end_char of the longest such passage, which begins and ends with a word of the item.
 
     Case, punctuation, look-alike characters, markup, entities, quoting and line breaks make no difference; an opening
     that items share doesn't count. Null and empty texts hold nothing; items shorter than `passage` words never leak.

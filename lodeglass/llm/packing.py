@@ -157,26 +157,27 @@ def token_items(documents: DataFrame, capacity: int, vocabulary: str, pattern: s
 
 
 def pack_items(items: DataFrame, capacity: int, *, key: tuple[str, ...], size: str, group_rows: int = 200_000) -> DataFrame:
-    """The items with container, position in it and offset (units before the item in its container).
+    """The items with container, position in it and offset (units before the item in its container), which replace
+    columns of these names.
 
     Sizes must be 1 to capacity; the histogram the driver gets has at most `capacity` rows. Equal keys are kept, each
     with a slot of its own. Items of one size are ranked in hashed parts of about group_rows rows.
     """
-    items = cut(items)
+    items = cut(items.drop("container", "position", "offset"))
     counts = {r[0]: r[1] for r in items.groupBy(size).count().toLocalIterator()}
     slots, _ = plan_containers(counts, capacity)
     spark = items.sparkSession
     plan = spark.sparkContext.broadcast(_Plan(slots))
     parts = F.create_map(*(x for k, n in sorted(counts.items()) if n > group_rows for x in (F.lit(k), F.lit(-(-n // group_rows))))) if any(n > group_rows for n in counts.values()) else None
     part = F.pmod(F.xxhash64(*key), F.coalesce(parts[F.col(size)], F.lit(1)).cast("long")) if parts is not None else F.lit(0).cast("long")
-    placed = items.withColumn("_part", part)
+    placed = items.withColumn("__part__", part)
     before = (
-        placed.groupBy(size, "_part").count()
-        .select(size, "_part", (F.sum("count").over(Window.partitionBy(size).orderBy("_part")) - F.col("count")).alias("_before"))
+        placed.groupBy(size, "__part__").count()
+        .select(size, "__part__", (F.sum("count").over(Window.partitionBy(size).orderBy("__part__")) - F.col("count")).alias("__before__"))
     )
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(size, "_part").orderBy(*key)) - 1)
+    ranked = placed.withColumn("__rank__", F.row_number().over(Window.partitionBy(size, "__part__").orderBy(*key)) - 1)
     if parts is not None:
-        ranked = ranked.join(before, [size, "_part"]).withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long"))
+        ranked = ranked.join(before, [size, "__part__"]).withColumn("__rank__", (F.col("__rank__") + F.col("__before__")).cast("long"))
 
     @F.pandas_udf("struct<container long, position int, offset int>")
     def slot(length, rank):
@@ -185,7 +186,7 @@ def pack_items(items: DataFrame, capacity: int, *, key: tuple[str, ...], size: s
         c, p, o = plan.value.find(length.to_numpy(), rank.to_numpy().astype(np.int64))
         return pd.DataFrame({"container": c, "position": p.astype(np.int32), "offset": o.astype(np.int32)})
 
-    return ranked.withColumn("_slot", slot(F.col(size), F.col("_rank").cast("long"))).select(*items.columns, "_slot.container", "_slot.position", "_slot.offset")
+    return ranked.withColumn("__slot__", slot(F.col(size), F.col("__rank__").cast("long"))).select(*items.columns, "__slot__.container", "__slot__.position", "__slot__.offset")
 
 
 def pack_documents(documents: DataFrame, *, capacity: int = 2048, vocabulary: str | None = None, pattern: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from lodeglass.llm.parsing.base import Bad, Parser, line_ends
 
 _P = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU]|[tT][rR]?)?"
-_STRING = rf"""{_P}(?:\"{{3}}(?:[^"\\]|\\[\s\S]|"(?!""))*\"{{3}}|'{{3}}(?:[^'\\]|\\[\s\S]|'(?!''))*'{{3}}|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')"""
+_STRING = rf"""{_P}(?:\"{{3}}(?:[^"\\]|\\[\s\S]|"(?!""))*\"{{3}}|'{{3}}(?:[^'\\]|\\[\s\S]|'(?!''))*'{{3}}|"(?!"")(?:[^"\\\n]|\\[\s\S])*"|'(?!'')(?:[^'\\\n]|\\[\s\S])*')"""
 _NUM = r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?"
 _OP = r"\*\*=|//=|>>=|<<=|\.\.\.|:=|->|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|==|!=|<=|>=|\*\*|//|<<|>>|[{}()\[\]:,;.=+\-*/%@&|^~<>]"
 TOKENS = re.compile(rf"""(?:[ \t\f]|\\\r?\n|\ufeff)+|((?:(?:[ \t\f]*(?:\#[^\n]*)?\r?\n)+)[ \t\f]*)|\#[^\n]*|({_STRING})|([^\W\d]\w*)|((?:{_NUM})(?!\w))|({_OP})|([\s\S])""")

@@ -274,9 +274,8 @@ def personal_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 def redact_personal(documents: DataFrame, *, text: str = "text", found: str = "pii_found") -> DataFrame:
     """The documents with every piece of personal information replaced by a typed placeholder, and the number of pieces
-    in a further column. Null texts stay null with a null number; all other columns stay as they are."""
-    if found in documents.columns:
-        raise ValueError(f"{found} is a column already; name another")
+    in column `found`, which replaces one of that name. Null texts stay null with a null number; all other columns stay
+    as they are."""
 
     @F.pandas_udf("struct<text string, n int>")
     def replace(texts):
@@ -285,5 +284,6 @@ def redact_personal(documents: DataFrame, *, text: str = "text", found: str = "p
         rows = [(None, None) if t is None else (redacted(t, s := spans(t)), len(s)) for t in texts]
         return pd.DataFrame({"text": [r[0] for r in rows], "n": pd.array([r[1] for r in rows], dtype="Int32")})
 
-    new = documents.withColumn("_redacted", replace(F.col(text)))
-    return new.withColumn(text, F.col("_redacted.text")).withColumn(found, F.col("_redacted.n")).drop("_redacted")
+    own = "__redacted__"
+    new = documents.drop(own, found).withColumn(own, replace(F.col(text)))
+    return new.withColumn(text, F.col(own)["text"]).withColumn(found, F.col(own)["n"]).drop(own)
