@@ -54,7 +54,7 @@ def discovery_summary(path: Column, content: Column) -> dict[str, Column]:
     """summary_source, summary and hints of files that have no symbols, by their extension."""
     source = F.coalesce(_lookup(FALLBACK_SUMMARIES, extension(path)), F.lit("text-lines"))
     lines = F.split(content, "\r?\n")
-    full = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    full = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     headings = F.transform(F.slice(F.filter(full, lambda x: x.rlike(r"^#{1,6}\s+")), 1, 3), lambda x: F.regexp_replace(x, r"^#{1,6}\s+", ""))
     keys = F.slice(F.transform(F.filter(lines, lambda x: x.rlike(r"^[A-Za-z0-9_-]+:\s*")), lambda x: F.regexp_extract(x, r"^([A-Za-z0-9_-]+):", 1)), 1, 5)
     objects = F.slice(F.transform(F.regexp_extract_all(content, F.lit(r'(?i)\b(?:create|alter)\s+(?:table|view|function|index)\s+([A-Za-z0-9_."]+)'), F.lit(1)), lambda x: F.regexp_replace(x, '"', "")), 1, 5)

@@ -185,7 +185,7 @@ def trade_index(spark: SparkSession, root: str) -> CodeIndex:
     imports = bought.join(names, "l_partkey").groupBy(F.col("o_custkey").alias("file_id"), source.alias("source")).agg(F.array_sort(F.collect_list(spec)).cast(f"array<{SPECIFIER}>").alias("specifiers"))
     dependencies = bought.select(F.col("o_custkey").alias("importer_file_id"), F.concat(F.lit("customers/c"), F.col("o_custkey").cast("string"), F.lit(".ts")).alias("importer_path"), of_supplier.alias("target_path"), source.alias("source")).distinct()
     symbols = parts.unionByName(people)
-    contents = symbols.select("file_id", F.col("file_path").alias("path"), "name").groupBy("file_id", "path").agg(F.max("name").alias("content"))
+    contents = symbols.select("file_id", F.col("file_path").alias("path"), "name").groupBy("file_id", "path").agg(F.rpad(F.max("name"), 64, " ").alias("content"))
     return CodeIndex(files, contents, symbols, imports, dependencies)
 
 
