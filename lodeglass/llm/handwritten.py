@@ -48,7 +48,7 @@ _DEFAULT = Limits()
 VENDOR_FOLDERS = frozenset("vendor vendors node_modules third_party third-party thirdparty 3rdparty extern external externals deps bower_components site-packages".split())
 GENERATED_FOLDERS = frozenset("__generated__ generated generated-sources generated-src autogen dist build".split())
 _SURE_FOLDERS = frozenset("__generated__ generated-sources generated-src autogen".split())
-_TOOL_NAME = re.compile(r"(?:\.(?:gen|g|generated|pb|pb\.gw|designer)\.[a-z]+|_(?:pb2|pb2_grpc|generated|gen)\.[a-z]+|_string\.go)$|^(?:zz_generated\.|generated_)|^(?:package-lock\.json|npm-shrinkwrap\.json|composer\.lock|pnpm-lock\.yaml|yarn\.lock)$")
+_TOOL_NAME = re.compile(r"(?:\.(?:gen|g|generated|pb|pb\.gw|designer)\.[a-z]+|_(?:pb2|pb2_grpc|generated|gen)\.[a-z]+|_string\.go)$|^zz_generated\.|^(?:package-lock\.json|npm-shrinkwrap\.json|composer\.lock|pnpm-lock\.yaml|yarn\.lock)$")
 _MINIFIED_NAME = re.compile(r"[.-](?:min|bundle|packed)\.(?:js|css|mjs)$")
 _HEAD_NOTE = re.compile(
     r"""^\s*(?://+|\#+|/?\*+!?|<!--|--|;|%)\s*(?:

@@ -19,6 +19,7 @@ def test_generated_by_note_and_name():
 def test_mentions_are_written_by_hand():
     assert kind("a/b/src/gen.go", "go", CODE + 'const banner = "Code generated by x. DO NOT EDIT."\n') is None
     assert kind("a/b/src/gen.go", "go", "// Used by the code generator, whose output starts with: Code generated by x.\n" + CODE) is None
+    assert kind("a/b/src/generated_marker_list.go", "go", CODE) is None
     assert kind("a/b/src/vendor-list.go", "go", "// Do not edit the vendor list without asking.\n" + CODE) is None
 
 
