@@ -63,9 +63,9 @@ def merged_seeds(index: CodeIndex, query: str | None, ids: tuple[str, ...], conf
 def with_source(rows: DataFrame, index: CodeIndex) -> DataFrame:
     """The rows (id, ...) with their symbols, the exact bytes of their source, and its tokens; symbols whose file has no
     content are left out."""
-    contents = index.contents.where("content is not null").select("file_id", "content").distinct()
+    contents = index.contents.where("content is not null").select("file_id", "content")
     symbols = rows.join(unique_symbols(index.symbols), "id")
-    return symbols.join(contents, "file_id").withColumn("source", byte_slice(F.col("content"), F.col("start_byte"), F.col("end_byte"))).drop("content").withColumn("source_tokens", token_estimate("source"))
+    return symbols.join(contents, "file_id").dropDuplicates(["id"]).withColumn("source", byte_slice(F.col("content"), F.col("start_byte"), F.col("end_byte"))).drop("content").withColumn("source_tokens", token_estimate("source"))
 
 
 def prefix_budget(candidates: DataFrame, budget: int, *, order: str = "order", cost: str = "token_count", least: int = 1) -> DataFrame:

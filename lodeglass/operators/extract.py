@@ -218,7 +218,7 @@ def _members(code: bytes, start: int, end: int, family: str, member: re.Pattern,
 def parse_symbols(files: DataFrame, contents: DataFrame, strategy: str = "doc-comments-first") -> DataFrame:
     """The symbols of all files, read from their contents; null contents and unknown languages have none."""
     languages = files.where("file_id is not null").select("file_id", "path", "language").distinct()
-    rows = contents.where("content is not null").select("file_id", "content").distinct().join(languages, "file_id")
+    rows = contents.where("content is not null").select("file_id", "content").join(languages, "file_id")
     names = [c.split()[0] for c in SYMBOLS.split(", ")]
     ints = {"start_line", "end_line", "start_byte", "end_byte"}
     types = {n: pa.int64() if n == "file_id" else pa.int32() if n in ints else pa.bool_() if n == "exported" else pa.string() for n in names}
@@ -228,7 +228,7 @@ def parse_symbols(files: DataFrame, contents: DataFrame, strategy: str = "doc-co
             found = [s | {"file_id": r["file_id"]} for r in batch.to_pylist() for s in extract_symbols(r["path"] or "", r["language"] or "", r["content"], strategy)]
             yield pa.RecordBatch.from_arrays([pa.array([s[n] for s in found], types[n]) for n in names], names)
 
-    return rows.mapInArrow(run, SYMBOLS)
+    return rows.mapInArrow(run, SYMBOLS).distinct()
 
 
 def fingerprints(symbols: DataFrame, imports: DataFrame) -> DataFrame:

@@ -129,8 +129,10 @@ def neighbours(index: CodeIndex, frontier: DataFrame, *, dependencies: bool = Tr
     after = lambda rank, *place: F.concat(F.col("parent_order"), F.array(F.lit(str(rank)), *(F.coalesce(p.cast("string"), F.lit("")) for p in place)))
     parts = []
     if dependencies:
-        out = index.dependencies.join(paths.withColumnRenamed("file_path", "importer_path"), "importer_path", "left_semi")
-        picks = dependency_picks(index, imports_by_edge(CodeIndex(index.files, index.contents, index.symbols, index.imports, out)))
+        out = cut(index.dependencies.join(paths.withColumnRenamed("file_path", "importer_path"), "importer_path", "left_semi"))
+        targets = out.select(F.col("target_path").alias("file_path")).distinct()
+        near = CodeIndex(index.files, index.contents, index.symbols.join(targets, "file_path", "left_semi"), index.imports.join(out.select(F.col("importer_file_id").alias("file_id")).distinct(), "file_id", "left_semi"), out)
+        picks = dependency_picks(near)
         hop = here.join(picks.withColumnRenamed("importer_path", "file_path"), "file_path")
         parts.append(hop.select("parent", "id", "reason", after(0, F.col("place.target_path"), F.col("place.source"), F.lpad(F.col("place.pos").cast("string"), 6, "0")).alias("order")))
     if references or importers:

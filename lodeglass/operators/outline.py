@@ -51,12 +51,12 @@ def symbol_sources(symbols: DataFrame, files: DataFrame, contents: DataFrame, *,
     if ids is not None:
         asked = symbols.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
         rows = rows.join(F.broadcast(asked), "id", "left_semi") if len(ids) < 50_000 else rows.join(asked, "id", "left_semi")
-    text = contents.where("content is not null").select("file_id", "content").distinct()
+    text = contents.where("content is not null").select("file_id", "content")
     info = files.select("file_id", "content_hash", "integrity_hash", "parser_backend", "parser_fallback_used", "parser_fallback_reason").distinct()
     joined = rows.join(text, "file_id").join(info, "file_id", "left")
     window = line_window(F.col("content"), F.col("start_line"), F.col("end_line"), context)
     good = verified(F.col("content"), F.col("integrity_hash"), F.col("content_hash")) if verify else F.lit(False)
-    return joined.select("id", "file_path", *(c.alias(n if n == "source" else f"source_{n}") for n, c in window.items()), integrity_hash(window["source"]).alias("source_hash"), good.alias("verified"), "parser_backend", F.coalesce("parser_fallback_used", F.lit(False)).alias("parser_fallback_used"), "parser_fallback_reason")
+    return joined.select("id", "file_path", *(c.alias(n if n == "source" else f"source_{n}") for n, c in window.items()), integrity_hash(window["source"]).alias("source_hash"), good.alias("verified"), "parser_backend", F.coalesce("parser_fallback_used", F.lit(False)).alias("parser_fallback_used"), "parser_fallback_reason").distinct()
 
 
 def missing_ids(symbols: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -93,15 +93,18 @@ def file_summaries(files: DataFrame, symbols: DataFrame, contents: DataFrame) ->
     from its content where there are none. Files with neither have no row."""
     first = F.struct("start_line", "start_byte", "id", "name", "kind")
     per = unique_symbols(symbols).groupBy("file_id").agg(F.count("*").cast("bigint").alias("n"), F.slice(F.array_sort(F.collect_list(first)), 1, 3).alias("top"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    rows = files.where("path is not null").select("file_id", "path").distinct().join(per, "file_id", "left").join(contents.where("content is not null").select("file_id", "content").distinct(), "file_id", "left")
+    known = files.where("path is not null").select("file_id", "path").distinct()
+    with_symbols = known.join(per, "file_id").withColumn("content", F.lit(None).cast("string"))
+    without = known.join(per.select("file_id"), "file_id", "left_anti").join(contents.where("content is not null").select("file_id", "content"), "file_id")
+    rows = with_symbols.unionByName(without, allowMissingColumns=True)
     said = discovery_summary(F.col("path"), F.col("content"))
     ext = F.upper(F.regexp_replace(extension("path"), r"^\.", ""))
     has = F.col("n").isNotNull()
     lines = F.transform("top", lambda s: F.format_string("%s %s at line %d", s["kind"], s["name"], s["start_line"]))
-    return rows.where(has | F.col("content").isNotNull()).select(
+    return rows.select(
         "path", language_of("path").alias("language"), F.when(has, "structured").otherwise("discovery").alias("active_tier"), support_reason("path").alias("support_reason"),
         F.when(has, "structured").otherwise(said["summary_source"]).alias("summary_source"),
         F.when(has, F.concat(F.when(ext == "", "Source").otherwise(ext), F.lit(" file with "), F.col("n").cast("string"), F.lit(" indexed symbols"))).otherwise(said["summary"]).alias("summary"),
         F.when(has | language_of("path").isNotNull(), "high").otherwise("medium").alias("confidence"), F.coalesce("n", F.lit(0)).cast("bigint").alias("symbol_count"),
         F.when(has, F.concat(F.array(F.concat(F.lit("symbol kinds: "), F.array_join("kinds", ", "))), lines)).otherwise(said["hints"]).alias("hints"),
-    )
+    ).distinct()

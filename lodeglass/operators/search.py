@@ -109,7 +109,7 @@ def search_text(contents: DataFrame, query: str, *, file_pattern: str | None = N
     validation.query_text(query)
     validation.positive_limit(limit)
     n = min(limit or config.limits.text_results, config.limits.text_results)
-    rows = contents.where("content is not null and path is not null").select("file_id", "path", "content").distinct()
+    rows = contents.where("content is not null and path is not null").select("file_id", "path", "content")
     if narrow and phrases(query):
         hits = rows.where(content_hits(rows, query)).select("file_id").distinct().orderBy("file_id").limit(config.limits.text_candidates)
         count = hits.agg(F.count("*").alias("_hits"))
@@ -118,7 +118,8 @@ def search_text(contents: DataFrame, query: str, *, file_pattern: str | None = N
         rows = rows.where(path_matches("path", [file_pattern]))
     wanted = query.lower()
     lines = rows.where(F.lower("content").contains(wanted)).select("path", F.posexplode(F.split("content", "\n")).alias("pos", "text")).where(F.lower("text").contains(wanted))
-    return lines.select(F.col("path").alias("file_path"), (F.col("pos") + 1).alias("line"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("preview")).orderBy("file_path", "line").limit(n)
+    found = lines.select(F.col("path").alias("file_path"), (F.col("pos") + 1).alias("line"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("preview")).distinct()
+    return found.orderBy("file_path", "line").limit(n)
 
 
 def search_live(lines: DataFrame, query: str, *, per_file: int = 100, limit: int = 100, output_bytes: int = 1_000_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeglass.functions.hashing import content_fingerprint
 from lodeglass.functions.imports import extract_imports
 from lodeglass.functions.languages import language_of, support_tier
-from lodeglass.functions.privacy import redact_secrets
+from lodeglass.functions.privacy import redact_secrets, secret_like
 from lodeglass.functions.text import dirname, path_matches, token_estimate
 from lodeglass.operators import context, graph, health, outline, report
 from lodeglass.operators.extract import parse_symbols
@@ -17,7 +17,7 @@ from lodeglass.operators.postings import bm25
 from lodeglass.operators.ranking import symbol_score
 from lodeglass.operators.search import ranked_symbols, search_envelope, search_symbols, search_text, unique_symbols
 from lodeglass.schema import SPECIFIER, EngineConfig
-from lodeglass.session import table
+from lodeglass.session import cut, table
 from lodeglass.sources.store import best_artifacts, latest, prune_plan
 
 #: Binary order, as SQL has it, instead of a locale's.
@@ -126,15 +126,16 @@ def content_verification(spark, root):
     """How many stored hashes are their content's, of either kind."""
     files, contents = _t(spark, root, "files", "file_content")
     clean = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    joined = contents.where("content is not null").distinct().join(files, "file_id")
-    fast, strong = clean("content_hash") == content_fingerprint("content"), clean("integrity_hash") == F.concat(F.lit("sha256:"), F.sha2("content", 256))
+    hashes = contents.where("content is not null").select("file_id", content_fingerprint("content").alias("fast"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("strong")).distinct()
+    joined = hashes.join(files, "file_id")
+    fast, strong = clean("content_hash") == F.col("fast"), clean("integrity_hash") == F.col("strong")
     return joined.groupBy(fast.alias("fingerprint_holds"), strong.alias("integrity_holds")).agg(F.count("*").cast("bigint").alias("files"))
 
 
 def integrity_verification(spark, root):
     files, contents = _t(spark, root, "files", "file_content")
-    strong = F.lower(F.regexp_replace("integrity_hash", r"^\s+|\s+$", "")) == F.concat(F.lit("sha256:"), F.sha2("content", 256))
-    return contents.where("content is not null").select("file_id", "content").distinct().join(files, "file_id").groupBy(strong.alias("integrity_holds")).agg(F.count("*").cast("bigint").alias("files"))
+    strong = F.lower(F.regexp_replace("integrity_hash", r"^\s+|\s+$", "")) == F.col("strong")
+    return contents.where("content is not null").select("file_id", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("strong")).distinct().join(files, "file_id").groupBy(strong.alias("integrity_holds")).agg(F.count("*").cast("bigint").alias("files"))
 
 
 def token_estimates(spark, root):
@@ -143,9 +144,8 @@ def token_estimates(spark, root):
 
 
 def redacted_contents(spark, root):
-    contents = table(spark, root, "file_content").where("content is not null").select("file_id", "content").distinct()
     clean = redact_secrets("content")
-    return contents.where(clean != F.col("content")).select("file_id", F.sha2(clean, 256).alias("redacted_hash"))
+    return table(spark, root, "file_content").where(secret_like("content")).select("file_id", F.sha2(clean, 256).alias("redacted_hash")).distinct()
 
 
 # -- extraction and dependencies
@@ -189,6 +189,12 @@ def trade_index(spark: SparkSession, root: str) -> CodeIndex:
     return CodeIndex(files, contents, symbols, imports, dependencies)
 
 
+def stored_trade_index(spark: SparkSession, root: str) -> CodeIndex:
+    """The same with its tables stored, as an index has them; expansions read them several times."""
+    i = trade_index(spark, root)
+    return CodeIndex(i.files, i.contents, cut(i.symbols), i.imports, cut(i.dependencies))
+
+
 def representatives(spark, root):
     return graph.representative_symbols(trade_index(spark, root).symbols)
 
@@ -212,13 +218,13 @@ def _seeds(index: CodeIndex) -> DataFrame:
 
 def graph_expansion(spark, root):
     """Symbols within two hops of two customers, over dependencies and importers, counted by depth."""
-    index = trade_index(spark, root)
+    index = stored_trade_index(spark, root)
     found = graph.expand(index, _seeds(index), depth=2, importers=True)
     return found.groupBy("depth").agg(F.count("*").cast("bigint").alias("symbols"))
 
 
 def discovered_symbols(spark, root):
-    index = trade_index(spark, root)
+    index = stored_trade_index(spark, root)
     found = graph.discover(index, _seeds(index), depth=1, dependencies=True)
     return found.select("id", "depth", F.array_join(F.array_sort("reasons"), ",").alias("reasons"), "file_path", "start_line", "exported")
 
@@ -232,13 +238,13 @@ def direct_importers(spark, root):
 
 
 def bundle_items(spark, root):
-    index = trade_index(spark, root)
+    index = stored_trade_index(spark, root)
     bundle = context.context_bundle(index, symbol_ids=("c1", "c2"), token_budget=400)
     return bundle.items.select("id", "role", "reason", "token_count")
 
 
 def bundle_summary(spark, root):
-    index = trade_index(spark, root)
+    index = stored_trade_index(spark, root)
     return context.context_bundle(index, symbol_ids=("c1", "c2"), token_budget=400).summary
 
 
@@ -251,7 +257,7 @@ def ranked_candidates(spark, root):
 
 
 def task_context(spark, root):
-    found = context.task_context(trade_index(spark, root), symbol_ids=("c1", "c2"), depth=1)
+    found = context.task_context(stored_trade_index(spark, root), symbol_ids=("c1", "c2"), depth=1)
     return found.items.select("id", "role", "reason", "cost")
 
 

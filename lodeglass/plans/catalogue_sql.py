@@ -217,6 +217,20 @@ u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth,
 x AS (SELECT u.id, CASE WHEN depth = 0 THEN 'target' ELSE 'dependency' END AS role, CASE WHEN depth = 0 THEN 'explicit_symbol_id' ELSE 'imports_matched_file' END AS reason, (greatest(1, ceil(n / 4)) + 8)::BIGINT AS token_count, depth, parent, t, p FROM u JOIN sym s ON u.id = s.id),
 y AS (SELECT *, sum(token_count) OVER (ORDER BY depth, parent, t, p, id) AS used FROM x)
 SELECT id, role, reason, token_count FROM y WHERE used <= 400""",
+    "bundle_summary": f"""
+WITH {_TRADE}, u AS (SELECT DISTINCT id FROM dep WHERE importer_path IN ('customers/c1.ts', 'customers/c2.ts') UNION SELECT id FROM sym WHERE id IN ('c1', 'c2')),
+k AS (SELECT importer_path, id, min(struct_pack(t := target_path, p := name)) AS place FROM dep WHERE importer_path IN ('customers/c1.ts', 'customers/c2.ts') GROUP BY 1, 2),
+o AS (SELECT id, 0 AS depth, id AS parent, '' AS t, '' AS p FROM sym WHERE id IN ('c1', 'c2') UNION ALL SELECT id, 1, CASE importer_path WHEN 'customers/c1.ts' THEN 'c1' ELSE 'c2' END, place.t, place.p FROM k),
+q AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth, parent, t, p) = 1),
+x AS (SELECT q.*, (greatest(1, ceil(n / 4)) + 8)::BIGINT AS c FROM q JOIN sym USING (id)), y AS (SELECT *, sum(c) OVER (ORDER BY depth, parent, t, p, id) AS used FROM x)
+SELECT 400::BIGINT AS token_budget, sum(c)::BIGINT AS estimated_tokens, coalesce(sum(c) FILTER (used <= 400), 0)::BIGINT AS used_tokens, count(*) FILTER (used <= 400) AS item_count, sum(c) > 400 AS truncated FROM y""",
+    "extracted_imports": r"""
+WITH d AS (SELECT DISTINCT file_id, regexp_extract_all(content, '(?m)^[ \t]*(?:import|export)\s+(?:type\s+)?((?:[\w$*,\s]|\{[^}]*\})*?)\s*from\s*["'']([^"''\n]+)["'']', 1) AS a,
+  regexp_extract_all(content, '(?m)^[ \t]*(?:import|export)\s+(?:type\s+)?((?:[\w$*,\s]|\{[^}]*\})*?)\s*from\s*["'']([^"''\n]+)["'']', 2) AS b FROM file_content WHERE content IS NOT NULL AND file_id IS NOT NULL),
+z AS (SELECT DISTINCT file_id, unnest(b) AS source, unnest(a) AS c FROM d),
+n AS (SELECT file_id, source, list_filter(list_transform(string_split(regexp_extract(c, '(?s)\{(.*)\}', 1), ','), lambda x: trim(x, e' \n\t\r')), lambda x: x != '') AS named, trim(string_split(c, ',')[1], e' \n\t\r') AS first, regexp_matches(c, '\*\s+as\s+') AS space FROM z),
+k AS (SELECT file_id, source, len(named) + (first != '' AND first[1] NOT IN ('{', '*'))::INT + space::INT AS n FROM n)
+SELECT source, count(DISTINCT file_id) AS files, CAST(sum(n) AS BIGINT) AS specifiers FROM k WHERE n > 0 GROUP BY 1""".replace("\\\\", "\\"),
     "parser_health": "SELECT count(*) AS indexed_files, count(*) FILTER (parser_backend IS NOT NULL) AS known_files, count(*) FILTER (parser_fallback_used) AS fallback_files, count(*) FILTER (parser_backend IS NULL) AS unknown_files, round(count(*) FILTER (parser_fallback_used) / nullif(count(*) FILTER (parser_backend IS NOT NULL), 0), 6) AS fallback_rate FROM files",
     "parser_fallback_reasons": "SELECT parser_fallback_reason AS reason, count(*) AS files FROM files WHERE parser_fallback_used AND parser_fallback_reason != '' GROUP BY 1",
     "summary_source_counts": f"WITH {_S} SELECT summary_source, count(*) AS symbols FROM s GROUP BY 1",
