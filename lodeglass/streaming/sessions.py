@@ -20,11 +20,11 @@ def remember(known: list[str], content: str, most: int = KNOWN_IDS) -> tuple[str
     return "full", [*known, content][-most:]
 
 
-def session_references_stream(answers: DataFrame, *, minutes: int = SESSION_MINUTES, most: int = KNOWN_IDS) -> DataFrame:
+def session_references_stream(answers: DataFrame, *, minutes: int = SESSION_MINUTES, most: int = KNOWN_IDS, late: str = "1 minute") -> DataFrame:
     """The answers (session, content_id, ts) of a stream with their representation.
 
     A session forgets all when it is silent for `minutes`, and the oldest when it knows more than `most`. Within a
-    micro-batch answers are taken in order of time.
+    micro-batch answers are taken in order of time. The state of silent sessions goes when the watermark passes.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -41,7 +41,7 @@ def session_references_stream(answers: DataFrame, *, minutes: int = SESSION_MINU
             last = ts.timestamp()
             out.append((key[0], content, ts, what))
         state.update((known, last))
-        state.setTimeoutDuration(minutes * 60 * 1000)
+        state.setTimeoutTimestamp(max(int((last + minutes * 60) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session", "content_id", "ts", "representation"])
 
-    return answers.select("session", "content_id", "ts").groupBy("session").applyInPandasWithState(step, OUTPUT, "known array<string>, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return answers.select("session", "content_id", "ts").withWatermark("ts", late).groupBy("session").applyInPandasWithState(step, OUTPUT, "known array<string>, last double", "append", GroupStateTimeout.EventTimeTimeout)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lodeglass.operators.health import snapshot_drift
 from lodeglass.sources.files import listing
 
-CHANGES = "path string, kind string, at timestamp"
+CHANGES = "root string, path string, kind string, at timestamp"
 
 
 def sweep(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -33,10 +33,10 @@ def change_feed(spark: SparkSession, folder: str, schema: str = CHANGES, per_tri
 
 
 def debounced(changes: DataFrame, gap_ms: int = 100, late: str = "1 minute") -> DataFrame:
-    """Bursts of changes that end when nothing happens for gap_ms: burst, first_at, last_at and the sorted distinct
-    paths. A burst comes out once, when no event can belong to it any more."""
-    calm = changes.withWatermark("at", late).groupBy(F.session_window("at", f"{gap_ms} milliseconds").alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("events"))
-    return calm.select(F.col("w.start").alias("first_at"), F.col("w.end").alias("last_at"), "paths", "events")
+    """Bursts of changes below each root that end when nothing happens there for gap_ms: root, first_at, last_at, the
+    sorted distinct paths, and events. A burst comes out once, when no event can belong to it any more."""
+    calm = changes.withWatermark("at", late).groupBy("root", F.session_window("at", f"{gap_ms} milliseconds").alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("events"))
+    return calm.select("root", F.col("w.start").alias("first_at"), F.col("w.end").alias("last_at"), "paths", "events")
 
 
 def poll_interval(debounce_ms: int) -> int:
