@@ -188,3 +188,27 @@ def prune_plan(entries: DataFrame, max_bytes: int, *, buckets: int = 64) -> Data
     running = placed.withColumn("_inner", F.sum("bytes").over(inner)).join(F.broadcast(before), "_b").join(F.broadcast(total))  # ranges, and one row
     freed_before = F.col("_before") + F.col("_inner") - F.col("bytes")
     return running.where(F.col("total") - freed_before > max_bytes).select("key", "bytes")
+
+
+def archive(plan: DataFrame, root: str, archive_root: str, *, dry_run: bool = True) -> list[str]:
+    """Move the entries of a prune plan (key: a path below root) to the same place below archive_root; which they are.
+    The driver reads one partition of keys at a time; a dry run moves nothing."""
+    moved = []
+    for row in plan.select("key").orderBy("key").toLocalIterator(prefetchPartitions=False):
+        source, target = os.path.join(root, row["key"]), os.path.join(archive_root, row["key"])
+        if os.path.exists(source):
+            moved.append(row["key"])
+            if not dry_run:
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                os.replace(source, target)
+    return moved
+
+
+def restore(root: str, archive_root: str, key: str) -> bool:
+    """Bring an archived entry back, unless there is one in its place already."""
+    source, target = os.path.join(archive_root, key), os.path.join(root, key)
+    if not os.path.exists(source) or os.path.exists(target):
+        return False
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    os.replace(source, target)
+    return True
