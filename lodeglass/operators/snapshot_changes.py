@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,19 +33,14 @@ def normal_path(col: str) -> F.Column:
     return F.regexp_replace(F.regexp_replace(p, r"(?<=/)(\./)+", ""), r"^(\./|/)+", "")
 
 
-def latest_rows(entries: DataFrame) -> DataFrame:
-    """One row per repository, snapshot and normalised path: the one received last.
-
-    Rows without repository, number or path name no entry and are left out. Ties of received_at go to the greater
-    hash; a null received_at counts as earliest. Extra columns are ignored.
-    """
-    rows = entries.select(
+def _deliveries(entries: DataFrame) -> DataFrame:
+    """Deliveries with normalised paths; those without repository, number or path name no entry and are left out."""
+    return entries.select(
         "repository_id",
         F.col("snapshot_no").cast("int").alias("snapshot_no"),
         normal_path("path").alias("path"),
         F.struct(F.col("received_at").alias("at"), F.lower(outer_trim("content_hash")).alias("hash")).alias("last"),
     ).where("repository_id is not null and snapshot_no is not null and path is not null")
-    return rows.groupBy("repository_id", "snapshot_no", "path").agg(F.max("last").alias("last")).select("repository_id", "snapshot_no", "path", F.col("last.hash").alias("content_hash"))
 
 
 def _u(x: int) -> bytes:
@@ -137,13 +133,16 @@ def snapshot_changes(entries: DataFrame, *, rows_per_bucket: int = 2048, cells:
     repository_id, snapshot_no (the later one), path (normalised), change. Null hashes equal null only. The first
     snapshot of a repository yields no rows, nor do empty tables. Repeated rows count once.
 
-    Rows are hashed on (repository, bucket) once; a repository of any size is spread over as many buckets as its
-    largest snapshot needs. Groups gathered in one place are the non-zero cells of a bucket, (hashes * cells * 4^level)
-    at most.
+    Within a snapshot the row received last counts; a null received_at is earliest, ties go to the greater hash. Rows
+    without repository, number or path name no entry and are left out.
+
+    Rows are shuffled on (repository, bucket) once and kept there, in memory or on disk, until the cache is cleared; what
+    a lost executor held is read again. A repository of any size is spread over as many buckets as its largest snapshot
+    needs. Groups gathered in one place are the non-zero cells of a bucket, (hashes * cells * 4^level) at most.
     """
-    rows = latest_rows(entries).select("*", F.xxhash64("path").alias("kh"), F.xxhash64(F.coalesce(F.concat(F.lit("="), "content_hash"), F.lit("-"))).alias("vh"))
-    rows = cut(rows)
-    counts = rows.groupBy("repository_id", "snapshot_no").agg(F.count("*").alias("n"))
+    spark = entries.sparkSession
+    raw = _deliveries(entries)
+    counts = raw.groupBy("repository_id", "snapshot_no").agg(F.count("*").alias("n"))
     by_no = Window.partitionBy("repository_id").orderBy("snapshot_no")
     order = cut(
         counts.select(
@@ -152,14 +151,19 @@ def snapshot_changes(entries: DataFrame, *, rows_per_bucket: int = 2048, cells:
             F.greatest(F.lit(1), F.ceil(F.max("n").over(Window.partitionBy("repository_id")) / F.lit(rows_per_bucket))).cast("long").alias("buckets"),
         )
     )
-    placed = join_small(rows, order, ["repository_id", "snapshot_no"], max_rows=broadcast_rows).withColumn("bucket", F.pmod(F.xxhash64("path", F.lit("bucket")), F.col("buckets")))
+    # the only shuffle of the rows: all that follows groups by repository and bucket first
+    placed = join_small(raw, order, ["repository_id", "snapshot_no"], max_rows=broadcast_rows).withColumn("bucket", F.pmod(F.xxhash64("path", F.lit("bucket")), F.col("buckets"))).drop("buckets")
+    near = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "repository_id", "bucket")
+    latest = near.groupBy("repository_id", "bucket", "prev_no", "snapshot_no", "next_no", "path").agg(F.max("last").alias("last"))
+    rows = latest.select("repository_id", "bucket", "prev_no", "snapshot_no", "next_no", "path", F.xxhash64("path").alias("kh"), F.xxhash64(F.coalesce(F.concat(F.lit("="), "last.hash"), F.lit("-"))).alias("vh"))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     sides = F.array(
         F.struct(F.col("prev_no").alias("prev"), F.col("snapshot_no").alias("no"), F.lit(1).alias("sign")),
         F.struct(F.col("snapshot_no").alias("prev"), F.col("next_no").alias("no"), F.lit(-1).alias("sign")),
     )
     signed = (
-        placed.select("repository_id", "bucket", "path", "kh", "vh", F.explode(sides).alias("side"))
-        .select("repository_id", "bucket", F.col("side.prev").alias("prev_no"), F.col("side.no").alias("snapshot_no"), F.col("side.sign").alias("sign"), "path", "kh", "vh")
+        rows.select("repository_id", "bucket", "kh", "vh", F.explode(sides).alias("side"))
+        .select("repository_id", "bucket", F.col("side.prev").alias("prev_no"), F.col("side.no").alias("snapshot_no"), F.col("side.sign").alias("sign"), "kh", "vh")
         .where("prev_no is not null and snapshot_no is not null")
     )
     found, rest, left, m = None, signed, None, cells
@@ -181,7 +185,11 @@ def snapshot_changes(entries: DataFrame, *, rows_per_bucket: int = 2048, cells:
         .agg(F.max("sign").alias("hi"), F.min("sign").alias("lo"))
         .select(*_GROUP, "kh", F.col("hi").alias("sign"), F.when(F.col("lo") > 0, "added").when(F.col("hi") < 0, "removed").otherwise("changed").alias("change"))
     )
-    return signed.join(keys, [*_GROUP, "kh", "sign"]).select("repository_id", "snapshot_no", "path", "change")
+    # where a change's path stands: in the later snapshot, or, if it was removed, in the earlier one
+    at = keys.select("repository_id", "bucket", "kh", F.when(F.col("sign") > 0, F.col("snapshot_no")).otherwise(F.col("prev_no")).alias("at_no"), F.col("snapshot_no").alias("later_no"), "change")
+    few = at.limit(broadcast_rows + 1).count() <= broadcast_rows
+    named = rows.select("repository_id", "bucket", F.col("snapshot_no").alias("at_no"), "path", "kh").join(F.broadcast(at) if few else at, ["repository_id", "bucket", "at_no", "kh"])
+    return named.select("repository_id", F.col("later_no").alias("snapshot_no"), "path", "change")
 
 
 def change_counts(changes: DataFrame) -> DataFrame:
