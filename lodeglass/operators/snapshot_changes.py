@@ -126,7 +126,7 @@ def _peeled(signed_rows: DataFrame, m: int, hashes: int) -> DataFrame:
     return summed.mapInArrow(_peel_batches(m, hashes), schema)
 
 
-def snapshot_changes(entries: DataFrame, *, rows_per_bucket: int = 2048, cells: int = 96, hashes: int = 3, levels: int = 4, broadcast_rows: int = 50_000) -> DataFrame:
+def snapshot_changes(entries: DataFrame, *, rows_per_bucket: int = 2048, cells: int = 512, hashes: int = 3, levels: int = 4, broadcast_rows: int = 50_000) -> DataFrame:
     """Added, removed and changed paths of every snapshot against the one before it.
 
     Input: repository_id, snapshot_no, path, content_hash, received_at; further columns are ignored. Output:
