@@ -29,8 +29,11 @@ _GROUP = ["repository_id", "bucket", "prev_no", "snapshot_no"]
 
 def normal_path(col: str) -> F.Column:
     """Relative path with single / and without leading ./"""
-    p = F.regexp_replace(F.regexp_replace(F.col(col), r"\\", "/"), r"/+", "/")
-    return F.regexp_replace(F.regexp_replace(p, r"(?<=/)(\./)+", ""), r"^(\./|/)+", "")
+    raw = F.col(col)
+    p = F.regexp_replace(F.regexp_replace(raw, r"\\", "/"), r"/+", "/")
+    clean = F.regexp_replace(F.regexp_replace(p, r"(?<=/)(\./)+", ""), r"^(\./|/)+", "")
+    odd = raw.contains("\\") | raw.contains("//") | raw.contains("/./") | raw.startswith("./") | raw.startswith("/")
+    return F.when(odd, clean).otherwise(raw)
 
 
 def _deliveries(entries: DataFrame) -> DataFrame:

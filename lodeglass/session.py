@@ -37,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def outer_trim(col: Column | str) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"^\s+|\s+$", "")
+    return F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(" \t\n\x0b\f\r"))
 
 
 def normal_key(col: Column | str) -> Column:
