@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import eq
 
 import ahocorasick
 import pyarrow as pa
@@ -140,7 +141,9 @@ def passages(text: str, items: tuple, passage: int, replaced: int) -> list[tuple
     for k, off in diagonals:
         _, own, first = items[k]
         lo, hi = max(first, -off), min(len(own), len(words) - off)
-        same = [own[j] == words[j + off] for j in range(lo, hi)]
+        same = list(map(eq, own[lo:hi], words[lo + off : hi + off]))
+        if sum(same) < passage - replaced:
+            continue
         good = [False] * len(same)
         wrong = sum(not x for x in same[:passage])
         for s in range(len(same) - passage + 1):
