@@ -27,11 +27,11 @@ _FORMS = [
     re.compile(p)
     for p in (
         r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9+/=])",
-        r"gh[pousr]_[A-Za-z0-9]{36,255}",
-        r"github_pat_[A-Za-z0-9_]{22,255}",
-        r"glpat-[A-Za-z0-9_\-]{20,64}",
+        r"gh[pousr]_[A-Za-z0-9]{36,}+",
+        r"github_pat_[A-Za-z0-9_]{22,}+",
+        r"glpat-[A-Za-z0-9_\-]{20,}+",
         r"npm_[A-Za-z0-9]{36}",
-        r"pypi-[A-Za-z0-9_\-]{32,}",
+        r"pypi-[A-Za-z0-9_\-]{32,}+",
         r"xox[abeoprs]-[A-Za-z0-9\-]{16,}",
         r"AIza[A-Za-z0-9_\-]{35}(?![A-Za-z0-9])",
         r"(?:sk|rk|pk)_live_[A-Za-z0-9]{16,}",
@@ -40,7 +40,7 @@ _FORMS = [
         r"hf_[A-Za-z0-9]{30,}",
         r"dop_v1_[a-f0-9]{40,}",
         r"whsec_[A-Za-z0-9+/=]{24,}",
-        r"eyJ[A-Za-z0-9_\-]{12,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
+        r"eyJ[A-Za-z0-9_\-]{12,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+",
     )
 ]
 _PREFIXES = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "npm_", "pypi-", "xoxa-", "xoxb-", "xoxe-", "xoxo-", "xoxp-", "xoxr-", "xoxs-", "aiza", "sk_live_", "rk_live_", "pk_live_", "sk-", "sg.", "hf_", "dop_v1_", "whsec_", "eyj")
@@ -58,17 +58,17 @@ _GIVEN = re.compile(r"""["'`\])]{0,3}\s{0,4}(?::\s*[A-Za-z<>\[\]]{2,20}\s+=|:=|=
 _LOOSE = re.compile(r"\s{1,2}(?:is\s|was\s|=\s?)?")
 _QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\\]*)`')
 _JOIN = re.compile(r"\s{0,8}(?:\+|\.|\\)?\s{0,40}(?:b|r|u|f)?(?=[\"'`])")
-_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]{8,512}")
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]{8,}+")
 _PLACEHOLDER = re.compile(
     r"""(?ix) ^(?:<.*>|\{\{.*|\$[\({]?.*|%[({]?\w+[)}]?s?|\[.*\]|\#\{.*)$ | example | your[_\- ]?\w | change[_\-]?me | placeholder | dummy | redacted | masked | insert[_\- ] | replace[_\- ]?(?:me|with) | fixme | todo
         | set\ in | ^(?:test|sample|fake|mock|foo|bar|none|null|nil|true|false|undefined|secret|password|token|admin|root|default|changeit|letmein)\w{0,4}$ | \*{3,} | x{6,} | \.{3} | ^-----BEGIN\ PUBLIC | process\.env | os\.environ | getenv | vault | keychain | secretsmanager """
 )
 _DIGEST = re.compile(r"^(?:sha\d{1,3}|md5|xxh\d+)[-:]", re.I)
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
-_URL = re.compile(r"://([^\s:/@'\"`<>{}$]{1,64}):([^\s/@'\"`<>]{3,128})@[A-Za-z0-9\[\"'`]")
-_URL_KEY = re.compile(r"[?&](?:api_?key|key|token|access_token|auth|secret|sig|signature|password|pwd)=([^\s&'\"`<>#]{8,256})", re.I)
-_USER = re.compile(r"(?:-u|--user)[ =](?:(['\"])([^\s:'\"]{1,64}):([^'\"\n]{4,128})\1|([^\s:'\"$]{1,64}):(['\"]?)([^\s'\"]{4,128})\5)")
-_SCHEME = re.compile(r"(?:bearer|basic)\s+([A-Za-z0-9+/=._~\-]{12,1024})", re.I)
+_URL = re.compile(r"://([^\s:/@'\"`<>{}$]++):([^\s/@'\"`<>]{3,}+)@[A-Za-z0-9\[\"'`]")
+_URL_KEY = re.compile(r"[?&](?:api_?key|key|token|access_token|auth|secret|sig|signature|password|pwd)=([^\s&'\"`<>#]{8,}+)", re.I)
+_USER = re.compile(r"(?:-u|--user)[ =](?:(['\"])([^\s:'\"]++):([^'\"\n]{4,}+)\1|([^\s:'\"$]++):(['\"]?)([^\s'\"]{4,}+)\5)")
+_SCHEME = re.compile(r"(?:bearer|basic)\s+([A-Za-z0-9+/=._~\-]{12,}+)", re.I)
 _SCHEME_WORD = re.compile(r"(?:Bearer|Basic|Token)\s+", re.I)
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]{2,10} )?(?:ENCRYPTED )?PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"(?:\\[nr]|[\s\"'`+,\\.]|Proc-Type:[^\n]*|DEK-Info:[^\n]*)*([A-Za-z0-9+/=]{16,})")
@@ -102,14 +102,14 @@ def _alike(v: str) -> bool:
 def plausible(value: str, named: bool = True) -> bool:
     """Whether a value can be a secret at all: long and irregular, no placeholder, look-up, digest or plain word."""
     v = value.strip()
-    if not 8 <= len(v) <= 4096 or any(c in v for c in "\n\r\t") or " " in v or _PLACEHOLDER.search(v) or _DIGEST.match(v) or _alike(v):
+    if len(v) < 8 or any(c in v for c in "\n\r\t") or " " in v or _PLACEHOLDER.search(v) or _DIGEST.match(v) or _alike(v):
         return False
     letters, digits, signs = sum(map(str.isalpha, v)), sum(map(str.isdigit, v)), sum(not c.isalnum() for c in v)
     if re.fullmatch(r"[\w\-]+(?:[./][\w\-]+)*\.(?:ts|js|py|go|java|json|sh|css|md|ya?ml|txt|html|pem|key|crt)", v) or re.match(r"(?:https?|ftp|file)://|\.{0,2}/[\w./-]*$", v):
         return False
     if re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+(?:\(.*)?", v) and not re.search(r"\d{2}", v) or re.search(r"\w\(", v):
         return False
-    if re.fullmatch(r"[a-z]+(?:[-_.][a-z]+)*(?:[-_.]?\d{1,4})?|[A-Z_]+|(?:[A-Z]?[a-z]{3,})+\d{0,2}", v) and (named is False or len(v) < 24):
+    if re.fullmatch(r"[a-z]+(?:[-_.][a-z]+)*(?:[-_.]?\d{1,4})?|[A-Z_]+|(?:[A-Z]?[a-z]{3,}+)++\d{0,2}", v) and (named is False or len(v) < 24):
         return False  # words
     if letters == 0 or digits == 0 and (signs == 0 or signs == len(re.findall(r"[-_.]", v))):
         return False
@@ -118,9 +118,9 @@ def plausible(value: str, named: bool = True) -> bool:
     return entropy(v) >= (2.6 if named else 2.9)
 
 
-def _formed(value: str) -> re.Match | None:
+def _formed(text: str, at: int = 0) -> re.Match | None:
     for form in _FORMS:
-        if m := form.match(value):
+        if m := form.match(text, at):
             return m
     return None
 
@@ -130,24 +130,33 @@ def _good_form(v: str) -> bool:
     return not _PLACEHOLDER.search(v) and not _alike(core) and entropy(core) >= 2.8 and bool(re.search(r"\d", core)) and bool(re.search(r"[A-Za-z]", core))
 
 
-def _literal(text: str, at: int) -> tuple[str, list[tuple[int, int]], int] | None:
-    """The string literal at a place with all literals joined to it: value, places of its pieces, end."""
-    m = _QUOTED.match(text, at)
-    if not m:
-        return None
-    k = m.lastindex or 1
-    value, pieces = m.group(k), [m.span(k)]
-    while len(pieces) < 64:
-        j = _JOIN.match(text, m.end())
-        if not j or "+" not in j.group() and "\\" not in j.group() and "." not in j.group():
-            break
-        n = _QUOTED.match(text, j.end())
-        if not n:
-            break
-        m, k = n, n.lastindex or 1
-        value += m.group(k)
-        pieces.append(m.span(k))
-    return value, pieces, m.end()
+def _literal(text: str, at: int, known: dict[int, tuple]) -> tuple[str, list[tuple[int, int]], int] | None:
+    """The string literal at a place with all literals joined to it: value, places of its pieces, end. `known` keeps
+    the chains read so far, each literal with the start of the next, so that every literal is read once."""
+    values, pieces, end = [], [], at
+    while at is not None:
+        if at not in known:
+            m = _QUOTED.match(text, at)
+            if not m:
+                break
+            j = _JOIN.match(text, m.end())
+            k, joined = m.lastindex or 1, j and ("+" in j.group() or "\\" in j.group() or "." in j.group())
+            known[at] = m.group(k), m.span(k), m.end(), j.end() if joined else None
+        value, piece, end, at = known[at]
+        values.append(value)
+        pieces.append(piece)
+    return ("".join(values), pieces, end) if pieces else None
+
+
+def _within(pieces: list[tuple[int, int]], start: int, end: int) -> tuple[tuple[int, int], ...]:
+    """The places in the text of a part of a joined value."""
+    spans, seen = [], 0
+    for i, j in pieces:
+        a, b = max(start, seen), min(end, seen + j - i)
+        if a < b:
+            spans.append((i + a - seen, i + b - seen))
+        seen += j - i
+    return tuple(spans)
 
 
 @lru_cache(maxsize=1)
@@ -165,7 +174,7 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _named(text: str, at: int, end: int) -> Find | None:
+def _named(text: str, at: int, end: int, known: dict[int, tuple]) -> Find | None:
     head = _NAME.search(text, max(0, at - 64), at).group()
     stop = _NAME_END.match(text, end).end()
     name = head + text[at:stop]
@@ -181,7 +190,7 @@ def _named(text: str, at: int, end: int) -> Find | None:
         loose = True
         if not g or text[stop : stop + 1] not in (" ", "\t"):
             return None
-    lit = _literal(text, g.end())
+    lit = _literal(text, g.end(), known)
     if lit:
         value, pieces, _ = lit
         # a look-up with a value in reserve
@@ -211,44 +220,45 @@ def candidates(text: str) -> list[Find]:
     out: list[Find] = []
     done = -1
     low = _lower(text)
+    known: dict[int, tuple] = {}
     for last, (n, kind) in _anchors().iter(low):
         at, end = last + 1 - n, last + 1
         find: Find | None = None
         if kind == "form":
             if at and (text[at - 1].isalnum() or text[at - 1] in "_+/" and low[at:end] in ("akia", "asia", "eyj")):
                 continue
-            m = _formed(text[at : at + 2048])
+            m = _formed(text, at)
             if m and _good_form(m.group()):
-                find = at, at + m.end(), m.group(), ((at, at + m.end()),)
+                find = at, m.end(), m.group(), (m.span(),)
+                if at and text[at - 1] in "\"'`" and text[m.end() : m.end() + 1] == text[at - 1]:  # it may go on in the parts joined to it
+                    lit = _literal(text, at - 1, known)
+                    if lit and (m := _formed(lit[0])) and m.end() > len(find[2]):
+                        spans = _within(lit[1], 0, m.end())
+                        find = at, spans[-1][1], m.group(), spans
             elif at and text[at - 1] in "\"'`":  # its form shows only when the parts are joined
-                lit = _literal(text, at - 1)
+                lit = _literal(text, at - 1, known)
                 if lit and len(lit[1]) > 1 and (m := _formed(lit[0])) and _good_form(m.group()):
                     find = at, lit[1][-1][1], lit[0], tuple(lit[1])
         elif kind == "cue":
             if low[at:end] in ("bearer ", "basic "):
                 if at and text[at - 1].isalnum():
                     continue
-                if at and text[at - 1] in "\"'`" and (lit := _literal(text, at - 1)) and (w := _SCHEME_WORD.match(lit[0])):
+                if at and text[at - 1] in "\"'`" and (lit := _literal(text, at - 1, known)) and (w := _SCHEME_WORD.match(lit[0])):
                     value = lit[0][w.end() :]
                     if plausible(value, False) and len(value) >= 12:
                         find = lit[1][0][0] + w.end(), lit[1][-1][1], value, ((lit[1][0][0] + w.end(), lit[1][0][1]), *lit[1][1:])
                 elif (m := _SCHEME.match(text, at)) and plausible(m.group(1).rstrip("."), False):
                     find = m.start(1), m.end(1), m.group(1), (m.span(1),)
             else:
-                find = _named(text, at, end)
+                find = _named(text, at, end, known)
         elif kind == "url":
             if (m := _URL.match(text, at)) and not _PLACEHOLDER.search(m.group(2)) and not _alike(m.group(2)) and not m.group(2).startswith(("$", "{", "<", "%(")) and m.group(2).lower() not in ("password", "pass", "pwd", "pw", "secret", "token"):
                 find = m.start(2), m.end(2), m.group(2), (m.span(2),)
             elif not m and (q := re.search(r"[\"'`][^\"'`\n]{0,40}$", text[max(0, at - 41) : at])):  # the literal may go on behind a plus
-                lit = _literal(text, at - len(q.group()))
-                if lit and len(lit[1]) > 1 and (m := _URL.search(lit[0])) and m.start() == len(q.group()) - 1 and not _PLACEHOLDER.search(m.group(2)) and not _alike(m.group(2)):
-                    spans, seen = [], 0
-                    for i, j in lit[1]:
-                        a, b = max(m.start(2), seen), min(m.end(2), seen + j - i)
-                        if a < b:
-                            spans.append((i + a - seen, i + b - seen))
-                        seen += j - i
-                    find = spans[0][0], spans[-1][1], m.group(2), tuple(spans)
+                lit = _literal(text, at - len(q.group()), known)
+                if lit and len(lit[1]) > 1 and (m := _URL.match(lit[0], len(q.group()) - 1)) and not _PLACEHOLDER.search(m.group(2)) and not _alike(m.group(2)):
+                    spans = _within(lit[1], *m.span(2))
+                    find = spans[0][0], spans[-1][1], m.group(2), spans
         elif kind == "query":
             if (m := _URL_KEY.match(text, at)) and plausible(m.group(1), False):
                 find = m.start(1), m.end(1), m.group(1), (m.span(1),)
@@ -262,7 +272,7 @@ def candidates(text: str) -> list[Find]:
             if (m := _PRIVATE.match(text, at)) and (b := _PEM_BODY.match(text, m.end())) and not _alike(b.group(1)) and entropy(b.group(1)) > 3:
                 stop = _PEM_REST.match(text, b.end()).end()
                 body = re.sub(r"[^A-Za-z0-9+/=]", "", text[b.start(1) : stop].replace("\\n", ""))
-                find = at, stop, body[:2048], tuple(x.span() for x in re.finditer(r"(?:(?<!\\)|(?<=\\n))[A-Za-z0-9+/=]{4,}", text[b.start(1) : stop]))
+                find = at, stop, body, tuple(x.span() for x in re.finditer(r"(?:(?<!\\)|(?<=\\n))[A-Za-z0-9+/=]{4,}", text[b.start(1) : stop]))
                 find = (find[0], find[1], find[2], tuple((b.start(1) + i, b.start(1) + j) for i, j in find[3]))
         if find and find[0] >= done:
             out.append(find)

@@ -1,3 +1,6 @@
+import hashlib
+import time
+
 import pytest
 
 from lodeglass.llm.credentials import candidates, credentials, in_path, mask_credentials, masked, plausible, secret_name
@@ -53,3 +56,33 @@ def test_operator(spark):
     out = {r.file_id: (r.content, r.masked) for r in mask_credentials(contents.withColumn("masked", contents.value), found).collect()}
     assert bare not in out[1][0] and bare not in out[2][0] and out[2][0].startswith("ok\nseen ***") and out[3] == (None, 0) and shared in out[10][0]
     assert credentials(files.limit(0), contents.limit(0)).count() == 0
+
+
+def _long(n):
+    return "".join(hashlib.sha256(str(i).encode()).hexdigest()[:40].replace("a", "Q") for i in range(n // 40))
+
+
+@pytest.mark.parametrize("line, secret", [
+    ("see {} here", "eyJ" + _long(2400) + "." + _long(2400) + "." + _long(400)), ("see {} here", "eyJ" + _long(400) + "." + _long(1600) + "." + _long(800)), ("see {} here", "ghp_" + _long(400)), ("see {} here", "glpat-" + _long(400)),
+    ("api_key={}", _long(6000)), ('apiKey = "{}"', _long(6000)), ("curl -H Authorization: Bearer {}", _long(6000)), ("https://x.invalid/?token={}", _long(6000)), ("postgres://u:{}@db.invalid/x", _long(6000)), ("curl -u bob:'{}'", _long(6000)),
+    ("postgres://" + "u" * 80 + ":{}@db.invalid/x", _long(40)),
+], ids=range(11))
+def test_long_values_to_their_end(line, secret):
+    text = line.format(secret)
+    found = candidates(text)
+    assert len(found) == 1 and found[0][2] == secret and masked(text, found[0][3]) == line.format("*" * len(secret))
+
+
+def test_joined_literals_to_their_end():
+    secret = _long(6000)
+    parts = [secret[i : i + 40] for i in range(0, 6000, 40)]
+    jwt = "eyJ" + _long(80) + "." + _long(80) + "." + _long(40)
+    for text, value, n in (('apiKey = "' + '" +\n  "'.join(parts) + '"', secret, 150), (f'see("{jwt}" +\n "{secret}")', jwt + secret, 2)):
+        found = candidates(text)
+        assert len(found) == 1 and found[0][2] == value and len(found[0][3]) == n and value[-40:] not in masked(text, found[0][3])
+
+
+def test_long_values_in_linear_time():
+    began = time.process_time()
+    candidates('password = "' + "a" * 200_000 + '!"\n' + " +\n".join(['"http://a.invalid/b"'] * 5000))
+    assert time.process_time() - began < 10
