@@ -2,7 +2,7 @@
 
 Every file is scanned once for candidate literals: values of a known form, values given to names that mean a secret,
 URLs, headers and private keys. The candidates of all files are indexed by value; values that many owners share are
-placeholders. What is left is confirmed, and one automaton over the confirmed values scans every file again, so that a
+placeholders, unless they are private keys or of a known form. What is left is confirmed, and one automaton over the confirmed values scans every file again, so that a
 confirmed secret is found wherever it stands, also where nothing around it tells what it is.
 """
 
@@ -130,6 +130,11 @@ def _good_form(v: str) -> bool:
     return not _PLACEHOLDER.search(v) and not _alike(core) and entropy(core) >= 2.8 and bool(re.search(r"\d", core)) and bool(re.search(r"[A-Za-z]", core))
 
 
+def structured(value: str) -> bool:
+    """Whether a value is of a known form, and so a credential however many owners have it."""
+    return (m := _formed(value)) is not None and _good_form(m.group())
+
+
 def _literal(text: str, at: int, known: dict[int, tuple]) -> tuple[str, list[tuple[int, int]], int] | None:
     """The string literal at a place with all literals joined to it: value, places of its pieces, end. `known` keeps
     the chains read so far, each literal with the start of the next, so that every literal is read once."""
@@ -297,30 +302,32 @@ def masked(text: str, pieces: list[tuple[int, int]]) -> str:
 
 
 def candidate_literals(contents: DataFrame, owner: Column) -> DataFrame:
-    """file_id, owner, line_no, start_char, end_char, value, pieces (flat list of places) of every candidate."""
-    schema = "file_id long, owner string, line_no int, start_char int, end_char int, value string, pieces array<int>"
+    """file_id, owner, line_no, start_char, end_char, value, pieces (flat list of places), structured (whether the value
+    is a private key or of a known form) of every candidate."""
+    schema = "file_id long, owner string, line_no int, start_char int, end_char int, value string, pieces array<int>, structured boolean"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for n, t in enumerate(batch.column(2).to_pylist()):
                 for start, end, value, pieces in candidates(t):
-                    rows.append((n, t.count("\n", 0, start) + 1, start, end, value, [x for p in pieces for x in p]))
+                    rows.append((n, t.count("\n", 0, start) + 1, start, end, value, [x for p in pieces for x in p], bool(_PRIVATE.match(t, start)) or structured(value)))
             if rows:
-                at, line, start, end, value, pieces = zip(*rows)
+                at, line, start, end, value, pieces, known = zip(*rows)
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (line, start, end)), pa.array(value), pa.array(pieces, pa.list_(pa.int32()))],
-                    ["file_id", "owner", "line_no", "start_char", "end_char", "value", "pieces"],
+                    [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (line, start, end)), pa.array(value), pa.array(pieces, pa.list_(pa.int32())), pa.array(known)],
+                    ["file_id", "owner", "line_no", "start_char", "end_char", "value", "pieces", "structured"],
                 )
 
     rows = contents.where("file_id is not null and content is not null").select("file_id", owner.alias("owner"), "content")
     return rows.mapInArrow(scan, schema)
 
 
-def confirmed_values(found: DataFrame, max_owners: int) -> DataFrame:
-    """Values of candidates that at most max_owners owners have: value, owners."""
-    return found.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") <= max_owners)
+def confirmed_values(found: DataFrame, max_owners: int, limit: int) -> DataFrame:
+    """Values of candidates that are structured or that at most `limit` owners have, max_owners at least: value, owners."""
+    kept = F.col("structured") | (F.col("owners") <= max(max_owners, limit))
+    return found.select("value", "owner", "structured").distinct().groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.max("structured").alias("structured")).where(kept).select("value", "owners")
 
 
 @lru_cache(maxsize=2)
@@ -366,19 +373,21 @@ def text_like(c: str) -> bool:
 
 
 def repository_and_package(path: Column) -> Column:
-    """The owner of a literal: the first three folders of its file's path."""
-    return F.substring_index(path, "/", 3)
+    """The owner of a literal: the first three folders of its file's path, or the fewer there are."""
+    return F.substring_index(F.regexp_replace(path, "[^/]*$", ""), "/", 3)
 
 
-def credentials(files: DataFrame, contents: DataFrame, *, max_owners: int = 5, block: int = 100_000, rescan_length: int = 12, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def credentials(files: DataFrame, contents: DataFrame, *, max_owners: int = 5, owner_share: float = 0.01, block: int = 100_000, rescan_length: int = 12, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """file_id, line_no, start_char, end_char and pieces of every credential; line_no 0 where the path contains one.
 
     Input: files (file_id, path), contents (file_id, path, content); further columns are ignored. Null contents and null
-    ids have no rows, repeated deliveries yield one row. Values that more than max_owners packages share are
-    placeholders. Confirmed values of rescan_length characters or more are looked for in all files again.
+    ids have no rows, repeated deliveries yield one row. Values that more than max_owners packages share, and more
+    than owner_share of all packages, are placeholders, private keys and known forms excepted. Confirmed values of rescan_length characters or more are looked for in all files again.
     """
-    found = cut(candidate_literals(contents, repository_and_package(F.col("path"))))
-    good = cut(confirmed_values(found, max_owners))
+    owner = repository_and_package(F.col("path"))
+    found = cut(candidate_literals(contents, owner))
+    owners = contents.where("file_id is not null and content is not null").agg(F.count_distinct(owner)).first()[0]
+    good = cut(confirmed_values(found, max_owners, int(owner_share * owners)))
     own = join_small(found, good.select("value"), ["value"], "left_semi", max_rows=broadcast_rows).select("file_id", "line_no", "start_char", "end_char", "pieces")
     again = occurrences(contents, good.where(F.length("value").between(rescan_length, 2000)).select("value"), block=block)
     again = again.select("file_id", "line_no", "start_char", "end_char", F.array("start_char", "end_char").alias("pieces"))
