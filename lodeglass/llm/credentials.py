@@ -13,7 +13,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -72,8 +71,12 @@ _SCHEME = re.compile(r"(?:bearer|basic)\s+([A-Za-z0-9+/=._~\-]{12,}+)", re.I)
 _SCHEME_WORD = re.compile(r"(?:Bearer|Basic|Token)\s+", re.I)
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]{2,10} )?(?:ENCRYPTED )?PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"(?:\\[nr]|[\s\"'`+,\\.]|Proc-Type:[^\n]*|DEK-Info:[^\n]*)*([A-Za-z0-9+/=]{16,})")
+_PEM_HEAD = re.compile(r"PRIVATE KEY(?: BLOCK)?-----(?:\\[nr]|[\s\"'`+,\\.])*$")
 _PEM_REST = re.compile(r"(?:(?:\\[nr]|[\s\"'`+,\\.])*(?!-----)[A-Za-z0-9+/=]{4,})*")
 
+# Characters of a value by which the automaton knows it, and of all values of one block.
+_HEAD_CHARS, _BLOCK_CHARS = 256, 16_000_000
+
 Find = tuple[int, int, str, tuple]  # start, end, value, pieces to mask
 
 
@@ -332,23 +335,50 @@ def confirmed_values(found: DataFrame, max_owners: int, limit: int) -> DataFrame
 
 @lru_cache(maxsize=2)
 def _value_automaton(values: tuple[str, ...]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
+    """Finds the heads of the values, each with all values that begin so."""
+    heads: dict[str, list[str]] = {}
     for v in values:
-        a.add_word(v, v)
+        heads.setdefault(v[:_HEAD_CHARS], []).append(v)
+    a = ahocorasick.Automaton()
+    for head, whole in heads.items():
+        a.add_word(head, (len(head), whole))
     if values:
         a.make_automaton()
     return a
 
 
-def occurrences(contents: DataFrame, values: DataFrame, *, block: int = 100_000) -> DataFrame:
+def _blocks(values: Iterator[str], block: int) -> Iterator[tuple[str, ...]]:
+    part, chars = [], 0
+    for v in values:
+        if part and (len(part) == block or chars + len(v) > _BLOCK_CHARS):
+            yield tuple(sorted(part))
+            part, chars = [], 0
+        part.append(v)
+        chars += len(v)
+    if part:
+        yield tuple(sorted(part))
+
+
+def _stands_alone(text: str, i: int, j: int, exact: bool) -> bool:
+    """Whether a value at a place is whole: no word goes on before or behind it; exact: quotes or blanks enclose it."""
+    if exact:
+        return all(not c or c.isspace() or c in "\"'`" for c in (text[i - 1 : i] if i else "", text[j : j + 1]))
+    if i and text_like(text[i - 1]) and text_like(text[i]) or j < len(text) and text_like(text[j]) and text_like(text[j - 1]):
+        return False
+    return not _PEM_HEAD.search(text, max(0, i - 80), i)  # the body of a private key begins at its header
+
+
+def occurrences(contents: DataFrame, values: DataFrame, *, block: int = 100_000, exact_below: int = 12) -> DataFrame:
     """file_id, line_no, start_char, end_char, value of all whole occurrences of the values (column `value`) in the
-    contents. The values are taken in blocks of `block`, each of which is one automaton and one pass over the files."""
+    contents. Values of fewer than exact_below characters must be irregular and stand between quotes or blanks, else
+    they would be found by chance. The values are taken in blocks of `block`, fewer if they are long, each of which is
+    one automaton and one pass over the files."""
     spark = contents.sparkSession
     schema = "file_id long, line_no int, start_char int, end_char int, value string"
     rows = contents.where("file_id is not null and content is not null").select("file_id", "content")
     stream = (r[0] for r in values.toLocalIterator())
     parts = []
-    while part := tuple(sorted(islice(stream, block))):
+    for part in _blocks((v for v in stream if len(v) >= exact_below or plausible(v)), block):
         shared = spark.sparkContext.broadcast(part)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -356,10 +386,12 @@ def occurrences(contents: DataFrame, values: DataFrame, *, block: int = 100_000)
             for batch in batches:
                 rows = []
                 for n, t in enumerate(batch.column(1).to_pylist()):
-                    for last, v in a.iter(t):
-                        i, j = last + 1 - len(v), last + 1
-                        if not (i and text_like(t[i - 1]) and text_like(v[0]) or j < len(t) and text_like(t[j]) and text_like(v[-1])):
-                            rows.append((n, t.count("\n", 0, i) + 1, i, j, v))
+                    for last, (size, whole) in a.iter(t):
+                        i = last + 1 - size
+                        for v in whole:
+                            j = i + len(v)
+                            if (j == last + 1 or t.startswith(v, i)) and _stands_alone(t, i, j, len(v) < exact_below):
+                                rows.append((n, t.count("\n", 0, i) + 1, i, j, v))
                 if rows:
                     at, line, start, end, value = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(x, pa.int32()) for x in (line, start, end)), pa.array(value)], ["file_id", "line_no", "start_char", "end_char", "value"])
@@ -382,14 +414,15 @@ def credentials(files: DataFrame, contents: DataFrame, *, max_owners: int = 5, o
 
     Input: files (file_id, path), contents (file_id, path, content); further columns are ignored. Null contents and null
     ids have no rows, repeated deliveries yield one row. Values that more than max_owners packages share, and more
-    than owner_share of all packages, are placeholders, private keys and known forms excepted. Confirmed values of rescan_length characters or more are looked for in all files again.
+    than owner_share of all packages, are placeholders, private keys and known forms excepted. Confirmed values are looked for in all files again, those of
+    fewer than rescan_length characters as exact tokens.
     """
     owner = repository_and_package(F.col("path"))
     found = cut(candidate_literals(contents, owner))
     owners = contents.where("file_id is not null and content is not null").agg(F.count_distinct(owner)).first()[0]
     good = cut(confirmed_values(found, max_owners, int(owner_share * owners)))
     own = join_small(found, good.select("value"), ["value"], "left_semi", max_rows=broadcast_rows).select("file_id", "line_no", "start_char", "end_char", "pieces")
-    again = occurrences(contents, good.where(F.length("value").between(rescan_length, 2000)).select("value"), block=block)
+    again = occurrences(contents, good.select("value"), block=block, exact_below=rescan_length)
     again = again.select("file_id", "line_no", "start_char", "end_char", F.array("start_char", "end_char").alias("pieces"))
 
     @F.pandas_udf("boolean")

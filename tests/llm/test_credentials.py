@@ -104,3 +104,14 @@ def test_limit_of_owners_follows_their_number(spark):
     files = contents.select("file_id", "path")
     assert credentials(files, contents).select("file_id").distinct().count() == 7
     assert credentials(files, contents.where("file_id < 600")).count() == 0
+
+
+def test_short_and_long_values_are_found_again(spark):
+    short, huge = "Ab7%kQ2z", _long(6000)
+    rows = [(1, "r/p/a/x.ts", f'dbPassword = "{short}"\napiKey = "{huge}"\n'), (2, "r/p/a/y.ts", f"ok\nconnect bob {short}\nsee {huge}\n"), (3, "r/p/a/z.ts", f"see {short}/x and {huge[:-1]} and {huge}7\n"), (4, "r/p/a/w.ts", f"f('{short}', 1)")]
+    rows += [(5, "r/p/a/k.pem", f"-----BEGIN PRIVATE KEY-----\n{_long(2400)[::-1]}\n-----END PRIVATE KEY-----\n"), (6, "r/p/a/u.ts", 'a = "postgres://u:hunter@db.invalid/x"'), (7, "r/p/a/v.ts", "a hunter here")]
+    contents = spark.createDataFrame(rows, "file_id long, path string, content string")
+    found = credentials(contents.select("file_id", "path"), contents, block=1)
+    assert {(r.file_id, r.line_no) for r in found.collect()} == {(1, 1), (1, 2), (2, 2), (2, 3), (4, 1), (5, 1), (6, 1)}
+    out = {r.file_id: r.content for r in mask_credentials(contents, found).collect()}
+    assert out[2] == f"ok\nconnect bob {'*' * 8}\nsee {'*' * 6000}\n" and out[3] == rows[2][2]
