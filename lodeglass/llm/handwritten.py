@@ -77,10 +77,29 @@ _COMMENT_LINE = re.compile(rb"^\s*(?://|#|/?\*|<!--)")
 _OPENING = re.compile(rb"\A(?:\xef\xbb\xbf)?(?:#![^\n]*\n)?(?:\s|//[^\n]*\n|#(?!!)[^\n]*\n|/\*[\s\S]*?\*/)*")
 
 
+_DECLARATION = re.compile(r"(?:export |public |async |static |final |abstract )*(?:def|function|class|func|interface|struct)\b|[\w-]+\s*\(\)\s*\{")
+#: Code that may stand before a head's end: imports and the like, and constants of one line.
+_PREAMBLE = re.compile(
+    r"""(?:@?import|@charset|from|package|require|include|use|using|source|\.|set|shopt|export\s+\*|export\s*\{)(?![\w$]) | ['"]use\ \w+['"] |
+        (?:(?:export|public|private|protected|static|final|declare|readonly|const|let|var|local)\s+)*[\w$.<>\[\]{},\ ]++(?::[\w$.<>\[\]|\ ]++)?:?=(?![=>]).*(?<![{(\[,=\\])$""",
+    re.X,
+)
+
+
+def _lines(text: str) -> Iterator[tuple[int, str]]:
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        yield at, text[at:end]
+        at = end + 1
+
+
 def _comments_at_head(text: str) -> str:
-    """The comments before the first code other than imports and single constants, of the first lines."""
-    out, block = [], False
-    for line in text[:4000].split("\n")[:30]:
+    """The comments before the first code other than imports and single constants. In the first lines only a declaration
+    is such code; further on any line is that's neither comment nor preamble, as the comments behind it aren't the head."""
+    out, block, open_import = [], False, ""
+    for n, (at, line) in enumerate(_lines(text)):
         s = line.strip()
         if block or s.startswith(("//", "#", "/*", "*", "<!--", "--")):
             out.append(line)
@@ -88,7 +107,15 @@ def _comments_at_head(text: str) -> str:
                 block = True
             elif "*/" in s:
                 block = False
-        elif re.match(r"(?:export |public |async |static |final |abstract )*(?:def|function|class|func|interface|struct)\b|[\w-]+\s*\(\)\s*\{", s):
+        elif _DECLARATION.match(s):
+            break
+        elif open_import:
+            open_import = "" if open_import in s else open_import
+        elif (start := _PREAMBLE.match(s)) or not s:
+            code = re.split(r"\s(?://|\#)", s)[0]
+            if start and re.match(r"import|from|export|use", s):
+                open_import = next((b for a, b in ("()", "{}") if a in code and b not in code), "")
+        elif n >= 30 or at >= 4000:
             break
     return "\n".join(out)
 

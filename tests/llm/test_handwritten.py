@@ -43,3 +43,14 @@ def test_twins_edges_and_salted_join(spark):
         got = {r.file_id: r.origin for r in file_origins(files, contents, broadcast_rows=limit).collect()}
         assert got == {1: "vendored", 2: "vendored", 3: "vendored", 4: None, 5: None, 9: None}
     assert file_origins(files.limit(0), contents.limit(0)).count() == 0
+
+
+def test_notes_behind_long_heads():
+    licence = "".join(f"// clause {i}: as is, without any warranty of whatever kind for you\n" for i in range(100))
+    imports = 'import { a } from "./a.js";\nimport {\n' + "".join(f"  name{i},\n" for i in range(80)) + '} from "./b.js";\nconst VERSION = "1.2";\n'
+    code = "export function run(input) {\n  return input.map((x) => name1(x, VERSION));\n}\n" * 4
+    for head in (licence, imports, licence + imports, "/*\n" + licence.replace("//", " *") + " */\n"):
+        assert kind("a/b/src/x.js", "js", head + "// @generated by tool\n" + code) == "generated"
+        assert kind("a/b/src/x.js", "js", head + "// upstream copy, see https://kit.invalid\n" + code) == "vendored"
+        assert kind("a/b/src/x.js", "js", head + code + "// @generated by tool\n") is None
+    assert kind("a/b/src/x.js", "js", "app.use(a);\n" * 40 + "// @generated by tool\n") is None
