@@ -72,7 +72,7 @@ _ALNUM = _DIGITS + bytes(range(65, 91)) + bytes(range(97, 123))
 _RUN = re.compile(rb"[A-Za-z0-9+/=]{48,}|(?:\\x[0-9a-fA-F]{2}){12,}")
 _NUMBER = re.compile(rb"(?<![\w.])-?\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?(?!\w)")
 _WORD = re.compile(rb"[A-Za-z_$\x80-\xff][\w$\x80-\xff]*")
-_LITERAL_LINE = re.compile(rb"""^[\s\[\](){},;:]*(?:(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|-?[\d.]+(?:[eE][+-]?\d+)?|true|false|null|None|nil)[\s\[\](){},;:]*)*$""")
+_LITERAL_LINE = re.compile(rb"""^[\s\[\](){},;:]*+(?:(?:"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|-?[\d.]++(?:[eE][+-]?\d++)?+|true|false|null|None|nil)[\s\[\](){},;:]*+)*+$""")
 _COMMENT_LINE = re.compile(rb"^\s*(?://|#|/?\*|<!--)")
 _OPENING = re.compile(rb"\A(?:\xef\xbb\xbf)?(?:#![^\n]*\n)?(?:\s|//[^\n]*\n|#(?!!)[^\n]*\n|/\*[\s\S]*?\*/)*")
 
@@ -120,9 +120,14 @@ def _comments_at_head(text: str) -> str:
     return "\n".join(out)
 
 
+def _rows(line: bytes) -> int:
+    """Rows a line counts for among literal lines: a long one holds as many as fill it, so that the breaks of a list don't matter."""
+    return 1 if len(line) < _DEFAULT.long_line else len(line) // 40
+
+
 def statistics(content: bytes) -> dict[str, float]:
     """max_line, mean_line (bytes), space, alnum, digits,
-    numbers (literals among words and literals), encoded (share of long encoded runs), literal_lines (share)."""
+    numbers (literals among words and literals), encoded (share of long encoded runs), literal_lines (share, long lines by their rows)."""
     n = max(1, len(content))
     lines = content.split(b"\n")
     sizes = [len(x) for x in lines]
@@ -132,7 +137,7 @@ def statistics(content: bytes) -> dict[str, float]:
         "max_line": float(max(sizes)), "mean_line": n / max(1, sum(1 for x in sizes if x)), "space": 1 - len(content.translate(None, _SPACE)) / n,
         "alnum": 1 - len(content.translate(None, _ALNUM)) / n, "digits": 1 - len(content.translate(None, _DIGITS)) / n,
         "numbers": numbers / max(1, numbers + len(_WORD.findall(content))), "encoded": sum(map(len, _RUN.findall(content))) / n,
-        "literal_lines": sum(1 for x in full if len(x) < 2000 and _LITERAL_LINE.match(x)) / max(1, len(full)),
+        "literal_lines": sum(_rows(x) for x in full if _LITERAL_LINE.match(x)) / max(1, sum(map(_rows, full))),
     }
 
 

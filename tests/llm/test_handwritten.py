@@ -1,4 +1,6 @@
-from lodeglass.llm.handwritten import file_origins, origin
+import time
+
+from lodeglass.llm.handwritten import file_origins, origin, statistics
 
 CODE = "package a\n\nimport \"fmt\"\n\nfunc Do(input []string) any {\n\tfor _, x := range input {\n\t\tfmt.Println(x)\n\t}\n\treturn input\n}\n" * 4
 FILES = "file_id long, language string, path string, extra int"
@@ -54,3 +56,19 @@ def test_notes_behind_long_heads():
         assert kind("a/b/src/x.js", "js", head + "// upstream copy, see https://kit.invalid\n" + code) == "vendored"
         assert kind("a/b/src/x.js", "js", head + code + "// @generated by tool\n") is None
     assert kind("a/b/src/x.js", "js", "app.use(a);\n" * 40 + "// @generated by tool\n") is None
+
+
+def test_long_lines_of_literals_are_data():
+    words = [f'"{a}{b} sentence"' for a in ("first", "other", "third", "fourth", "fifth") for b in ("apple", "berry", "cherry", "lemon", "mango", "melon", "olive", "peach", "plum", "quince") for _ in range(4)]
+    short, long = "NAMES = [\n  " + ",\n  ".join(words) + "\n]\n", "NAMES = [\n  " + ", ".join(words) + "\n]\n"
+    assert max(map(len, long.split("\n"))) > 3000
+    assert kind("a/b/x.py", "python", short) == kind("a/b/x.py", "python", long) == kind("a/b/x.ts", "typescript", long) == "data"
+    code = 'def describe(value):\n    return "{}: {}".format(value.name, value)\n\n\n' * 60
+    assert kind("a/b/x.py", "python", long + code) is None
+
+
+def test_long_lines_in_linear_time():
+    began = time.process_time()
+    for line in ("1" * 500_000 + "x", '"' + "a" * 500_000, "1.5e7, " * 100_000 + "x", '"a" ' * 100_000 + "x"):
+        assert statistics(line.encode())["literal_lines"] == 0
+    assert time.process_time() - began < 10
