@@ -25,11 +25,20 @@ _BRACED = re.compile(rb"^\s*(?:(?:export|public|private|protected|static|async|d
 _SHELL_FUNCTION = re.compile(rb"^(?:function\s+)?[\w-]+\s*\(\)\s*\{", re.M)
 
 
+def _windows(content: bytes) -> Iterator[bytes]:
+    """The whole content in parts of 20,000 bytes, each from the start of a line if there is one."""
+    at = 0
+    while at < len(content):
+        yield content[at : at + 20_000]
+        line = content.rfind(b"\n", at, at + 20_000) + 1
+        at = line if line > at else at + 20_000
+
+
 def syntax(content: bytes, path: str) -> re.Pattern:
-    """The comment syntax of a file: what its declarations look like counts before its extension."""
+    """The comment syntax of a file: what its first declarations look like, wherever they are, counts before its extension."""
     end = path.rsplit(".", 1)[-1].lower()
-    head = content[:20_000]
-    if head.startswith(b"#!") and b"python" not in head[:80] or _SHELL_FUNCTION.search(head) and not re.search(rb"^\s*(?:export\s+)?(?:function|class|const|let|import)\b.*[{;]", head, re.M):
+    head = next((w for w in _windows(content) if _DEF.search(w) or _BRACED.search(w) or _SHELL_FUNCTION.search(w)), content[:20_000])
+    if content.startswith(b"#!") and b"python" not in content[:80] or _SHELL_FUNCTION.search(head) and not re.search(rb"^\s*(?:export\s+)?(?:function|class|const|let|import)\b.*[{;]", head, re.M):
         return _SHELL
     if _DEF.search(head) and re.search(rb"^[ \t]*(?:async[ \t]+)?(?:def|class)\b[^\n]*:[ \t]*(?:#[^\n]*)?\r?$", head, re.M) and not re.search(rb"\{[ \t]*\r?$", head, re.M):
         return _PYTHON
@@ -83,7 +92,7 @@ def comment_spans(content: bytes, path: str) -> list[tuple[str, int, int, int, s
 
 def _header_end(content: bytes, at: int, strings: dict[int, int]) -> int:
     """The place behind the colon that ends a def or class header, or -1."""
-    depth, n = 0, min(len(content), at + 4000)
+    depth, n = 0, len(content)
     while at < n:
         if at in strings:
             at = strings[at]
@@ -95,8 +104,13 @@ def _header_end(content: bytes, at: int, strings: dict[int, int]) -> int:
             depth -= 1
         elif c == b":" and depth == 0:
             return at + 1
-        elif c == b"\n" and depth == 0:
-            return -1
+        elif c == b"\n" and (depth == 0 or _DEF.match(content, at + 1)):
+            return -1  # a header that isn't closed ends where the next one begins
+        elif c == b"#":
+            at = content.find(b"\n", at)
+            if at < 0:
+                return -1
+            continue
         at += 1
     return -1
 

@@ -36,3 +36,15 @@ def test_operator(spark):
     pairs = documented_functions(symbols, contents)
     assert {(r.symbol_id, r.documentation, r.code) for r in with_code(pairs, symbols).collect()} == {("a", "Größe: sorts the rows by their size.", "sig a"), ("c", "Splits lines at their ends.", "sig c")}
     assert documented_functions(symbols.limit(0), contents.limit(0)).count() == 0
+
+
+def test_long_headers_keep_their_docstring():
+    header = "def load(\n" + "".join(f"    name{i}: str = 'x',  # (see: {i}\n" for i in range(400)) + ") -> None:\n"
+    spans = comment_spans((header + '    """Reads all of it."""\n').encode(), "a/x.py")
+    assert [(s[0], s[3], s[4]) for s in spans if s[0] == "docstring"] == [("docstring", 0, '"""Reads all of it."""')]
+    assert not [s for s in comment_spans(b'def load(a,\ndef other():\n    """Reads."""\n', "a/x.py") if s[0] == "docstring" and s[3] == 0]
+
+
+def test_syntax_of_late_declarations():
+    late = "VALUE = 1\n" * 3000 + "\n# Reads all of it.\ndef load(name):\n    return name\n"
+    assert [s[4] for s in comment_spans(late.encode(), "a/x.ts")] == ["# Reads all of it."]
