@@ -31,43 +31,52 @@ def _lines(text: str, k: list[str], found: list[tuple[int, str]], tokens: re.Pat
     return out
 
 
+def _shell_lines(s: Shell) -> list[tuple[int, str]]:
+    return [(s.t.count("\n", 0, at) + 1, message) for at, message in s.errors]
+
+
 def syntax_errors(text: str, language: str) -> list[tuple[int, str]] | None:
-    """(line, message) of all errors; None if nothing can be said: an unknown language, or nesting beyond measure."""
+    """(line, message) of all errors; None if nothing can be said: an unknown language, or nesting beyond
+    measure with no error before it; the errors before it are kept, as they make the text invalid."""
+    p = s = None
     try:
         if language == "json":
             k = json_text.kinds(text)
             p = json_text.Json(k)
-            p.parse()
             tokens = json_text.TOKENS
+            p.parse()
         elif language == "python":
             k, ends = python_text.kinds(text)
             p = python_text.Python(k, ends)
-            p.parse()
             tokens = python_text.TOKENS
+            p.parse()
         elif language in ("ts", "typescript", "js", "javascript"):
             ts = language[0] == "t"
             k, ends, broken = script.kinds(text, ts)
             p = script.Script(k, ends, broken, ts)
-            p.parse()
             tokens = script.TOKENS
+            p.parse()
         elif language == "go":
             k, ends = go_text.kinds(text)
             p = go_text.Go(k, ends)
-            p.parse()
             tokens = go_text.TOKENS
+            p.parse()
         elif language == "java":
             k, ends = java_text.kinds(text)
             p = java_text.Java(k, ends)
-            p.parse()
             tokens = java_text.TOKENS
+            p.parse()
         elif language in ("bash", "sh", "shell"):
             s = Shell(text)
             s.parse()
-            return [(s.t.count("\n", 0, at) + 1, message) for at, message in s.errors]
+            return _shell_lines(s)
         else:
             return None
     except RecursionError:
-        return None
+        if s and s.errors:
+            return _shell_lines(s)
+        if not p or not p.errors:
+            return None
     if not p.errors or _exactly_valid(text, language):
         return []
     return _lines(text, k, p.errors, tokens)

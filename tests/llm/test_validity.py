@@ -80,3 +80,11 @@ def test_operator(spark):
     assert {r.file_id: r.valid for r in parsed.collect()} == {1: False, 2: True, 3: None, 4: None, 7: None}
     assert {(r.repository, r.language, r.files, r.invalid) for r in acceptance(parsed).collect()} == {("r", "json", 1, 1), ("r", "js", 1, 0)}
     assert parsed_files(files.limit(0), contents.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("language, bad, good", [("js", "let = = 1;\n", "let a = 1;\n"), ("go", "package a\n\nfunc f( {\n}\n\n", "package a\n\n"), ("python", "x = = 1\n", "x = 1\n")])
+def test_errors_before_nesting_beyond_measure(language, bad, good):
+    deep = ("var x = " if language == "go" else "x = ") + "(" * 6000 + "1" + ")" * 6000 + "\n"
+    errors = syntax_errors(bad + deep, language)
+    assert errors and errors[0][0] <= 3
+    assert not syntax_errors(good + deep, language)
