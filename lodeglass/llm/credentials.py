@@ -2,8 +2,10 @@
 
 Every file is scanned once for candidate literals: values of a known form, values given to names that mean a secret,
 URLs, headers and private keys. The candidates of all files are indexed by value; values that many owners share are
-placeholders, unless they are private keys or of a known form. What is left is confirmed, and one automaton over the confirmed values scans every file again, so that a
-confirmed secret is found wherever it stands, also where nothing around it tells what it is.
+placeholders, unless they are private keys or of a known form. What is left is confirmed, and every file is scanned
+again for the confirmed values, so that a confirmed secret is found wherever it stands, also where nothing around it
+tells what it is: the ends of all values are looked up at every byte at once, and an automaton over the values whose end
+was met reads the files that have one.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +57,9 @@ _NAME_END = re.compile(r"[A-Za-z0-9_\-]*")
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: What may stand between a name and its value: closing quotes and brackets, then a sign of giving.
 _GIVEN = re.compile(r"""["'`\])]{0,3}\s{0,4}(?::\s*[A-Za-z<>\[\]]{2,20}\s+=|:=|=>|==?|:|,|\?\?|\|\||\bis\b|->)\s{0,24}(?:b|r|u|f)?(?=["'`]|[^\s"'`])|["'`\])]{0,3}\s{1,2}(?=["'`])""")
+#: Values in the elements and attributes of markup: <password>..., key="password" value="..."
+_ELEMENT = re.compile(r">\s{0,24}([^<>\s]{8,}+)\s*</")
+_ATTRIBUTE = re.compile(r"""["']\s+value\s{0,4}=\s{0,4}(?=["'])""", re.I)
 _LOOSE = re.compile(r"\s{1,2}(?:is\s|was\s|=\s?)?")
 _QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\\]*)`')
 _JOIN = re.compile(r"\s{0,8}(?:\+|\.|\\)?\s{0,40}(?:b|r|u|f)?(?=[\"'`])")
@@ -74,8 +80,10 @@ _PEM_BODY = re.compile(r"(?:\\[nr]|[\s\"'`+,\\.]|Proc-Type:[^\n]*|DEK-Info:[^\n]
 _PEM_HEAD = re.compile(r"PRIVATE KEY(?: BLOCK)?-----(?:\\[nr]|[\s\"'`+,\\.])*$")
 _PEM_REST = re.compile(r"(?:(?:\\[nr]|[\s\"'`+,\\.])*(?!-----)[A-Za-z0-9+/=]{4,})*")
 
-# Characters of a value by which the automaton knows it, and of all values of one block.
-_HEAD_CHARS, _BLOCK_CHARS = 256, 16_000_000
+# Characters of a value by which the automaton knows it, and of all values of one block; bytes at the end
+# of a value that are looked up, and the size of the table that says which may be one.
+_HEAD_CHARS, _BLOCK_CHARS = 256, 64_000_000
+_TAIL, _TAIL_BITS, _SPREAD = 8, 24, np.uint64(0x9E3779B97F4A7C15)
 
 Find = tuple[int, int, str, tuple]  # start, end, value, pieces to mask
 
@@ -183,7 +191,7 @@ def _lower(text: str) -> str:
 
 
 def _named(text: str, at: int, end: int, known: dict[int, tuple]) -> Find | None:
-    head = _NAME.search(text, max(0, at - 64), at).group()
+    head = _NAME.search(text, max(0, at - 256), at).group()
     stop = _NAME_END.match(text, end).end()
     name = head + text[at:stop]
     loose = False
@@ -192,7 +200,10 @@ def _named(text: str, at: int, end: int, known: dict[int, tuple]) -> Find | None
         name = f"{before.group(1)}_{name}" if before else name
     if not secret_name(name):
         return None
-    g = _GIVEN.match(text, stop)
+    if text[stop : stop + 1] == ">" and text[max(0, at - len(head) - 1) : at - len(head)] in ("<", ":"):
+        m = _ELEMENT.match(text, stop)
+        return (m.start(1), m.end(1), m.group(1), (m.span(1),)) if m and plausible(m.group(1)) else None
+    g = _ATTRIBUTE.match(text, stop) or _GIVEN.match(text, stop)
     if not g:
         g = _LOOSE.match(text, stop)
         loose = True
@@ -304,26 +315,36 @@ def masked(text: str, pieces: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def lines_of(text: str, starts: list[int]) -> Iterator[int]:
+    """The lines (split at \\n, from 1) of ascending places, in one walk."""
+    line, at = 1, 0
+    for start in starts:
+        line, at = line + text.count("\n", at, start), start
+        yield line
+
+
 def candidate_literals(contents: DataFrame, owner: Column) -> DataFrame:
-    """file_id, owner, line_no, start_char, end_char, value, pieces (flat list of places), structured (whether the value
-    is a private key or of a known form) of every candidate."""
-    schema = "file_id long, owner string, line_no int, start_char int, end_char int, value string, pieces array<int>, structured boolean"
+    """file_id, owner, content_key (md5 of the content), line_no, start_char, end_char, value, pieces (flat list of
+    places), structured (whether the value is a private key or of a known form) of every candidate."""
+    schema = "file_id long, owner string, content_key string, line_no int, start_char int, end_char int, value string, pieces array<int>, structured boolean"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for n, t in enumerate(batch.column(2).to_pylist()):
-                for start, end, value, pieces in candidates(t):
-                    rows.append((n, t.count("\n", 0, start) + 1, start, end, value, [x for p in pieces for x in p], bool(_PRIVATE.match(t, start)) or structured(value)))
+            for n, t in enumerate(batch.column(3)):
+                t = t.as_py()
+                found = candidates(t)
+                for line, (start, end, value, pieces) in zip(lines_of(t, [f[0] for f in found]), found):
+                    rows.append((n, line, start, end, value, [x for p in pieces for x in p], bool(_PRIVATE.match(t, start)) or structured(value)))
             if rows:
                 at, line, start, end, value, pieces, known = zip(*rows)
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (line, start, end)), pa.array(value), pa.array(pieces, pa.list_(pa.int32())), pa.array(known)],
-                    ["file_id", "owner", "line_no", "start_char", "end_char", "value", "pieces", "structured"],
+                    [*(batch.column(i).take(take) for i in range(3)), *(pa.array(x, pa.int32()) for x in (line, start, end)), pa.array(value), pa.array(pieces, pa.list_(pa.int32())), pa.array(known)],
+                    ["file_id", "owner", "content_key", "line_no", "start_char", "end_char", "value", "pieces", "structured"],
                 )
 
-    rows = contents.where("file_id is not null and content is not null").select("file_id", owner.alias("owner"), "content")
+    rows = contents.where("content is not null").select("file_id", owner.alias("owner"), F.md5("content").alias("content_key"), "content")
     return rows.mapInArrow(scan, schema)
 
 
@@ -333,8 +354,7 @@ def confirmed_values(found: DataFrame, max_owners: int, limit: int) -> DataFrame
     return found.select("value", "owner", "structured").distinct().groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.max("structured").alias("structured")).where(kept).select("value", "owners")
 
 
-@lru_cache(maxsize=2)
-def _value_automaton(values: tuple[str, ...]) -> ahocorasick.Automaton:
+def _value_automaton(values: list[str]) -> ahocorasick.Automaton:
     """Finds the heads of the values, each with all values that begin so."""
     heads: dict[str, list[str]] = {}
     for v in values:
@@ -342,11 +362,61 @@ def _value_automaton(values: tuple[str, ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for head, whole in heads.items():
         a.add_word(head, (len(head), whole))
-    if values:
-        a.make_automaton()
+    a.make_automaton()
     return a
 
 
+class Values:
+    """A block of confirmed values as workers hold it: their bytes, and when first used an index of their last bytes."""
+
+    def __init__(self, values: tuple[str, ...]):
+        raw = [v.encode("utf-8", "surrogatepass") for v in values]
+        self.bytes, self.ends, self.tails = b"".join(raw), np.cumsum([len(v) for v in raw], dtype=np.int64), None
+
+    def __getstate__(self):
+        return self.bytes, self.ends
+
+    def __setstate__(self, state):
+        (self.bytes, self.ends), self.tails = state, None
+
+    def _index(self) -> None:
+        tails = np.array([int.from_bytes(self.bytes[e - _TAIL : e], "little") for e in self.ends], np.uint64)
+        self.order = np.argsort(tails, kind="stable")
+        self.tails = tails[self.order]
+        self.maybe = np.zeros(1 << _TAIL_BITS, np.bool_)
+        self.maybe[self._slot(tails)] = True
+
+    @staticmethod
+    def _slot(codes: np.ndarray) -> np.ndarray:
+        return (codes * _SPREAD) >> np.uint64(64 - _TAIL_BITS)
+
+    def met(self, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """The indices of the texts in which the last bytes of a value occur, and the values that have them."""
+        if self.tails is None:
+            self._index()
+        _, starts, data = texts.buffers()
+        starts = np.frombuffer(starts, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if data is None or starts[-1] - starts[0] < _TAIL:
+            return np.empty(0, np.int64), []
+        data = np.frombuffer(data, np.uint8, int(starts[-1] - starts[0]), int(starts[0]))
+        codes = np.ndarray((len(data) - _TAIL + 1,), "<u8", data, strides=(1,))
+        hits, which = [], []
+        for low in range(0, len(codes), 1 << 18):
+            part = codes[low : low + (1 << 18)]
+            some = np.flatnonzero(self.maybe[self._slot(part)])
+            tails = part[some]
+            at = np.searchsorted(self.tails, tails)
+            same = self.tails[np.minimum(at, len(self.tails) - 1)] == tails
+            hits.append(some[same] + low)
+            which.append(np.unique(tails[same]))
+        rows = np.unique(np.searchsorted(starts - starts[0], np.concatenate(hits), "right") - 1)
+        values = []
+        for tail in np.unique(np.concatenate(which)):
+            for k in self.order[np.searchsorted(self.tails, tail) : np.searchsorted(self.tails, tail, "right")]:
+                values.append(self.bytes[self.ends[k - 1] if k else 0 : self.ends[k]].decode("utf-8", "surrogatepass"))
+        return rows, values
+
+
 def _blocks(values: Iterator[str], block: int) -> Iterator[tuple[str, ...]]:
     part, chars = [], 0
     for v in values:
@@ -368,36 +438,52 @@ def _stands_alone(text: str, i: int, j: int, exact: bool) -> bool:
     return not _PEM_HEAD.search(text, max(0, i - 80), i)  # the body of a private key begins at its header
 
 
-def occurrences(contents: DataFrame, values: DataFrame, *, block: int = 100_000, exact_below: int = 12) -> DataFrame:
-    """file_id, line_no, start_char, end_char, value of all whole occurrences of the values (column `value`) in the
-    contents. Values of fewer than exact_below characters must be irregular and stand between quotes or blanks, else
-    they would be found by chance. The values are taken in blocks of `block`, fewer if they are long, each of which is
-    one automaton and one pass over the files."""
+def occurrences(contents: DataFrame, values: DataFrame, *, block: int = 1_000_000, exact_below: int = 12) -> DataFrame:
+    """file_id, content_key, line_no, start_char, end_char, value of all whole occurrences of the values (column `value`)
+    in the contents. Values of fewer than exact_below characters must be irregular and stand between quotes or blanks,
+    else they would be found by chance. The driver takes the values in blocks of `block`, or of 64 million characters,
+    one at a time; each is one pass over the files, and where there are several, what one has found is stored before the
+    next begins."""
     spark = contents.sparkSession
-    schema = "file_id long, line_no int, start_char int, end_char int, value string"
-    rows = contents.where("file_id is not null and content is not null").select("file_id", "content")
-    stream = (r[0] for r in values.toLocalIterator())
-    parts = []
-    for part in _blocks((v for v in stream if len(v) >= exact_below or plausible(v)), block):
-        shared = spark.sparkContext.broadcast(part)
+    schema = "file_id long, content_key string, line_no int, start_char int, end_char int, value string"
+    rows = contents.where("content is not null").select("file_id", F.md5("content").alias("content_key"), "content")
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            a = _value_automaton(shared.value)
+    def scanned(part: tuple[str, ...]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Values(part))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for n, t in enumerate(batch.column(1).to_pylist()):
+                texts, found = batch.column(2), []
+                which, values = shared.value.met(texts)
+                a = _value_automaton(values) if values else None
+                for n in which:
+                    t = texts[int(n)].as_py()
+                    places = []
                     for last, (size, whole) in a.iter(t):
                         i = last + 1 - size
                         for v in whole:
                             j = i + len(v)
                             if (j == last + 1 or t.startswith(v, i)) and _stands_alone(t, i, j, len(v) < exact_below):
-                                rows.append((n, t.count("\n", 0, i) + 1, i, j, v))
-                if rows:
-                    at, line, start, end, value = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(x, pa.int32()) for x in (line, start, end)), pa.array(value)], ["file_id", "line_no", "start_char", "end_char", "value"])
+                                places.append((i, j, v))
+                    places.sort()
+                    found += [(n, line, *p) for line, p in zip(lines_of(t, [p[0] for p in places]), places)]
+                if found:
+                    at, line, start, end, value = zip(*found)
+                    at = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int32()) for x in (line, start, end)), pa.array(value)], [f.split()[0] for f in schema.split(", ")])
+
+        return rows.mapInArrow(scan, schema)
 
-        parts.append(rows.mapInArrow(scan, schema))
-    return reduce(lambda x, y: x.unionByName(y), parts) if parts else spark.createDataFrame([], schema)
+    out = waiting = None
+    stream = (r[0] for r in values.toLocalIterator())
+    for part in _blocks((v for v in stream if len(v) >= exact_below or plausible(v)), block):
+        if waiting is not None:
+            found = cut(waiting)
+            out = found if out is None else out.unionByName(found)
+        waiting = scanned(part)
+    if waiting is None:
+        return spark.createDataFrame([], schema)
+    return waiting if out is None else out.unionByName(waiting)
 
 
 def text_like(c: str) -> bool:
@@ -409,36 +495,46 @@ def repository_and_package(path: Column) -> Column:
     return F.substring_index(F.regexp_replace(path, "[^/]*$", ""), "/", 3)
 
 
-def credentials(files: DataFrame, contents: DataFrame, *, max_owners: int = 5, owner_share: float = 0.01, block: int = 100_000, rescan_length: int = 12, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """file_id, line_no, start_char, end_char and pieces of every credential; line_no 0 where the path contains one.
+def credentials(files: DataFrame, contents: DataFrame, *, max_owners: int = 5, owner_share: float = 0.01, block: int = 1_000_000, rescan_length: int = 12, broadcast_rows: int = BROADCAST_ROWS, unnamed: bool = False) -> DataFrame:
+    """file_id, content_key (md5 of the content), line_no, start_char, end_char and pieces of every credential; line_no 0
+    and a null content_key where the path contains one.
 
-    Input: files (file_id, path), contents (file_id, path, content); further columns are ignored. Null contents and null
-    ids have no rows, repeated deliveries yield one row. Values that more than max_owners packages share, and more
-    than owner_share of all packages, are placeholders, private keys and known forms excepted. Confirmed values are looked for in all files again, those of
-    fewer than rescan_length characters as exact tokens.
+    Input: files (file_id, path), contents (file_id, path, content); further columns are ignored. Null contents have no
+    rows, null ids only if `unnamed` is set, repeated deliveries yield one row. Values that more than max_owners packages
+    share, and more than owner_share of all packages, are placeholders, private keys and known forms excepted. Confirmed
+    values are looked for in all files again, those of fewer than rescan_length characters as exact tokens. Not taken for
+    credentials: values of fewer than 8 characters, with blanks in them, of letters only or of digits only (those in
+    addresses, behind user names, excepted).
     """
     owner = repository_and_package(F.col("path"))
     found = cut(candidate_literals(contents, owner))
-    owners = contents.where("file_id is not null and content is not null").agg(F.count_distinct(owner)).first()[0]
+    owners = contents.where("content is not null").agg(F.count_distinct(owner)).first()[0]
     good = cut(confirmed_values(found, max_owners, int(owner_share * owners)))
-    own = join_small(found, good.select("value"), ["value"], "left_semi", max_rows=broadcast_rows).select("file_id", "line_no", "start_char", "end_char", "pieces")
+    own = join_small(found, good.select("value"), ["value"], "left_semi", max_rows=broadcast_rows).select("file_id", "content_key", "line_no", "start_char", "end_char", "pieces")
     again = occurrences(contents, good.select("value"), block=block, exact_below=rescan_length)
-    again = again.select("file_id", "line_no", "start_char", "end_char", F.array("start_char", "end_char").alias("pieces"))
+    again = again.select("file_id", "content_key", "line_no", "start_char", "end_char", F.array("start_char", "end_char").alias("pieces"))
 
     @F.pandas_udf("boolean")
     def bad_path(paths):
         return paths.map(lambda p: p is not None and in_path(p)).astype(bool)
 
-    paths = files.select("file_id", "path").unionByName(contents.select("file_id", "path")).where("file_id is not null and path is not null").distinct()
+    paths = files.select("file_id", "path").unionByName(contents.select("file_id", "path")).where("path is not null").distinct()
     none = F.lit(0)
-    named = paths.where(bad_path("path")).select("file_id", none.alias("line_no"), none.alias("start_char"), none.alias("end_char"), F.array().cast("array<int>").alias("pieces"))
-    return own.unionByName(again).unionByName(named).distinct()
+    named = paths.where(bad_path("path")).select("file_id", F.lit(None).cast("string").alias("content_key"), none.alias("line_no"), none.alias("start_char"), none.alias("end_char"), F.array().cast("array<int>").alias("pieces"))
+    rows = own.unionByName(again).unionByName(named)
+    return (rows if unnamed else rows.where("file_id is not null")).distinct()
 
 
-def mask_credentials(contents: DataFrame, found: DataFrame) -> DataFrame:
+def mask_credentials(contents: DataFrame, found: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The contents with all credentials of `found` starred out, and their number in column `masked`, which
-    replaces one of that name; null contents stay null. Lengths don't change, so byte offsets of symbols stay true. Found places are gathered per file."""
-    places = found.where("line_no > 0").groupBy("file_id").agg(F.flatten(F.collect_set("pieces")).alias("__pieces__"), F.count_distinct("start_char").cast("int").alias("__n__"))
+    replaces one of that name; null contents stay null. Lengths don't change, so byte offsets of symbols stay true.
+
+    Places belong to a content, whatever row it stands in: other contents of the same file keep theirs, copies and rows
+    without id get the same masks. They are gathered per content and broadcast if they are few; beyond broadcast_rows
+    contents with credentials both sides are shuffled with a salt.
+    """
+    key, pieces, number = "__content_key__", "__pieces__", "__n__"
+    places = found.where("line_no > 0").select(F.col("content_key").alias(key), "start_char", "pieces").distinct().groupBy(key).agg(F.flatten(F.collect_set("pieces")).alias(pieces), F.count_distinct("start_char").cast("int").alias(number))
 
     @F.pandas_udf("string")
     def star(texts, pieces):
@@ -446,5 +542,7 @@ def mask_credentials(contents: DataFrame, found: DataFrame) -> DataFrame:
 
         return pd.Series([t if t is None or p is None or not len(p) else masked(t, list(zip(p[0::2], p[1::2]))) for t, p in zip(texts, pieces)], dtype=object)
 
-    joined = contents.drop("__pieces__", "__n__", "masked").join(places, "file_id", "left")
-    return joined.withColumn("content", star("content", "__pieces__")).withColumn("masked", F.coalesce("__n__", F.lit(0))).drop("__pieces__", "__n__")
+    keyed = contents.drop(key, pieces, number, "masked").withColumn(key, F.md5("content"))
+    joined = join_small(keyed, cut(places), [key], "left", max_rows=broadcast_rows)
+    starred = F.when(F.col(number).isNull(), F.col("content")).otherwise(star("content", pieces))
+    return joined.withColumn("content", starred).withColumn("masked", F.coalesce(number, F.lit(0))).drop(key, pieces, number)

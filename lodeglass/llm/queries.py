@@ -32,8 +32,8 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_masked(spark: SparkSession, root: str) -> DataFrame:
-    contents = table(spark, root, "file_content").select("file_id", "path", "content").distinct()
-    return mask_credentials(contents, credentials(table(spark, root, "files"), contents))
+    contents = table(spark, root, "file_content").select("file_id", "path", "content")
+    return mask_credentials(contents, credentials(table(spark, root, "files"), contents, unnamed=True))
 
 
 def p4_parsed(spark: SparkSession, root: str) -> DataFrame:

@@ -1,9 +1,13 @@
 import hashlib
+import pickle
 import time
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from lodeglass.llm.credentials import candidates, credentials, in_path, mask_credentials, masked, plausible, secret_name
+from lodeglass.llm.credentials import Values, candidates, credentials, in_path, lines_of, mask_credentials, masked, occurrences, plausible, secret_name
 
 K = "sk-" + "1mq851aaDzZ0XmhodXcwvYY7GmnRy9wC7GOm9IV1"
 
@@ -115,3 +119,49 @@ def test_short_and_long_values_are_found_again(spark):
     assert {(r.file_id, r.line_no) for r in found.collect()} == {(1, 1), (1, 2), (2, 2), (2, 3), (4, 1), (5, 1), (6, 1)}
     out = {r.file_id: r.content for r in mask_credentials(contents, found).collect()}
     assert out[2] == f"ok\nconnect bob {'*' * 8}\nsee {'*' * 6000}\n" and out[3] == rows[2][2]
+
+
+def test_values_in_markup():
+    for text in ("<password>Delta%674_KUpD4</password>", "<db:password>\n  Delta%674_KUpD4\n</db:password>", '<add key="dbPassword" value="Delta%674_KUpD4"/>'):
+        (found,) = candidates(text)
+        assert found[2] == "Delta%674_KUpD4" and "Delta" not in masked(text, found[3])
+    assert candidates("<password>changeme</password> <token>identifier</token> <key>Delta%674_KUpD4</key>") == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab\u00e9\U0001f600 \n", min_size=8, max_size=12), min_size=1, max_size=6, unique=True), st.lists(st.text("ab\u00e9\U0001f600 \n", max_size=60), max_size=6), st.integers(0, 2))
+def test_ends_of_values_are_met_wherever_they_are(values, texts, skip):
+    known = pickle.loads(pickle.dumps(Values(tuple(values))))
+    texts = texts + [values[0] + "x" + values[-1]]
+    column = pa.array([*texts[:skip], *texts], pa.string()).slice(min(skip, len(texts)))
+    which, met = known.met(column)
+    want = {n for n, t in enumerate(texts) if any(v in t for v in values)}
+    assert want <= set(which.tolist()) and {v for v in values if any(v in t for t in texts)} <= set(met) <= set(values)
+
+
+def test_lines():
+    text = "a\nbb\n\nc"
+    assert list(lines_of(text, [0, 2, 3, 5, 6])) == [1, 2, 2, 3, 4]
+
+
+def test_many_values_agree_with_brute_force(spark):
+    values = [_long(40)[:30] + f"{i:05d}" for i in range(300)] + ["eyJhbGciOiJIUzI1NiJ9." + f"{i:05d}xQz" * 3 for i in range(300)]
+    texts = [f"x {values[i]} y\n'{values[-i - 1]}'" if i % 3 else f"{values[i]}7 {values[i][:-1]}" for i in range(200)]
+    contents = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file_id long, content string")
+    known = spark.createDataFrame([(v,) for v in values], "value string")
+    want = sorted((n, t.count("\n", 0, t.find(v)) + 1, t.find(v), v) for n, t in enumerate(texts) for v in values if v in t and not t[t.find(v) + len(v) :][:1].isalnum())
+    for block in (100, 100_000):
+        assert sorted((r.file_id, r.line_no, r.start_char, r.value) for r in occurrences(contents, known, block=block).collect()) == want
+    assert len(want) == 266
+
+
+def test_masks_belong_to_contents(spark):
+    one, other = f'a = 1\napiKey = "{K}"\n', "password = 'Delta%674_KUpD4'\nb = 22222222222222222222222222222222222222222222222222\n"
+    rows = [(1, "r/p/a/x.ts", one), (1, "r/p/a/x.ts", other), (None, "r/p/a/y.ts", one), (None, None, "token: " + K[::-1]), (2, "r/p/a/z.ts", "x = 1")]
+    contents = spark.createDataFrame(rows, "file_id long, path string, content string")
+    files = contents.select("file_id", "path")
+    assert {r.file_id for r in credentials(files, contents).collect()} == {1}
+    for limit in (100, 0):
+        out = mask_credentials(contents, credentials(files, contents, unnamed=True), broadcast_rows=limit).collect()
+        got = sorted((r.content, r.masked) for r in out)
+        assert got == sorted([(one.replace(K, "*" * len(K)), 1), (one.replace(K, "*" * len(K)), 1), (other.replace("Delta%674_KUpD4", "*" * 15), 1), ("token: " + "*" * len(K), 1), ("x = 1", 0)])
