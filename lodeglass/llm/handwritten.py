@@ -1,7 +1,9 @@
 """Generated, minified, vendored and data files among source files, by thresholds on layout statistics per language.
 
-One pass over every file measures its lines and characters and reads the tool's or project's note at its head, if
-there is one. Copies of vendored files that bear no note are found by the digest of their body.
+One pass over every file, where it lies, measures its lines and characters and reads the tool's or project's note at
+its head, if there is one. The thresholds of its language then tell generated, minified and data files by their layout;
+what has the layout of hand-written code but isn't, above all vendored files, is known by notes, names and folders, and
+copies of vendored files that bear no note by the digest of their body.
 """
 
 from __future__ import annotations
@@ -22,31 +24,41 @@ from lodeglass.session import BROADCAST_ROWS, cut, join_small
 class Limits:
     """Thresholds of one language. Shares are of all characters."""
 
-    long_line: int = 500  # a line this long is dense
-    dense_share: float = 0.7  # minified: this much of the file lies in dense lines
-    dense_space: float = 0.1  # minified: at most this much white space in them
-    dense_mean: float = 180.0  # minified: mean length of a line, with dense_space
+    dense_share: float = 0.7  # minified: this much of the file lies in dense lines, of DENSE bytes or more
+    dense_space: float = 0.1  # minified: at most this much white space
+    marks: float = 0.05  # minified: share of ; { } ( ) = : in dense lines, which a long list of names lacks
     digits: float = 0.22  # data: share of digits
     numbers: float = 0.45  # data: number literals among all words and numbers
-    marks: float = 0.05  # minified: share of ; { } ( ) = : in dense lines, which a long list of names lacks
     encoded: float = 0.6  # data: share of long encoded runs
     row_share: float = 0.85  # data: lines that only list literals
-    rows: int = 20  # data: at least so many lines or so many bytes / 40
-    twin: int = 200  # bytes a body has at least to count as copied
+    rows: int = 20  # data: at least so many lines, or so many bytes / 40, or some of both
+    shapes: float = 0.0  # generated: at most so many shapes of lines, by the root of the number of different lines
+    brackets: float = 0.0  # generated: at least this share of lines that hold brackets or literals alone
+    shape_space: float = 1.0  # generated: at most this much white space
+    shape_lines: int = 16  # generated: at least so many different lines
 
 
-#: JSON lists literals by nature; a style sheet is full of numbers and shorter when minified.
+#: Bytes from which a line is dense, and from which a body that equals another one counts as its copy.
+DENSE, TWIN = 180, 200
+#: JSON lists literals and repeats its shapes by nature; a style sheet is full of numbers, and its rules are of few shapes like those of a shell
+#: script; Python has no lines of brackets.
 LIMITS = {
-    "json": Limits(digits=0.2, numbers=0.45, row_share=2.0),
-    "css": Limits(long_line=250, dense_space=0.06, digits=0.4, numbers=0.8, row_share=2.0),
+    "ts": Limits(shapes=1.5, brackets=0.27),
+    "js": Limits(shapes=1.6, brackets=0.28),
+    "python": Limits(shapes=1.4, shape_space=0.19),
+    "go": Limits(shapes=1.7, brackets=0.32),
+    "java": Limits(shapes=1.3, brackets=0.28),
+    "json": Limits(digits=0.2, row_share=2.0),
+    "css": Limits(dense_space=0.06, digits=0.4, numbers=0.8, row_share=2.0),
     "bash": Limits(digits=0.3),
 }
 _DEFAULT = Limits()
 
 # Folders that hold other projects' files, file names that tools give, and what tools and projects
 # write at the head of their files.
-VENDOR_FOLDERS = frozenset("vendor vendors node_modules third_party third-party thirdparty 3rdparty extern external externals deps bower_components site-packages".split())
-GENERATED_FOLDERS = frozenset("__generated__ generated generated-sources generated-src autogen dist build".split())
+VENDOR_FOLDERS = frozenset("vendor vendors node_modules third_party third-party thirdparty 3rdparty bower_components site-packages".split())
+#: Folders of these names may hold a project's own code for something outside.
+LIKELY_FOLDERS = frozenset("extern external externals deps".split())
 _SURE_FOLDERS = frozenset("__generated__ generated-sources generated-src autogen".split())
 _TOOL_NAME = re.compile(r"(?:\.(?:gen|g|generated|pb|pb\.gw|designer)\.[a-z]+|_(?:pb2|pb2_grpc|generated|gen)\.[a-z]+|_string\.go)$|^zz_generated\.|^(?:package-lock\.json|npm-shrinkwrap\.json|composer\.lock|pnpm-lock\.yaml|yarn\.lock)$")
 _MINIFIED_NAME = re.compile(r"[.-](?:min|bundle|packed)\.(?:js|css|mjs)$")
@@ -122,75 +134,127 @@ def _comments_at_head(text: str) -> str:
 
 def _rows(line: bytes) -> int:
     """Rows a line counts for among literal lines: a long one holds as many as fill it, so that the breaks of a list don't matter."""
-    return 1 if len(line) < _DEFAULT.long_line else len(line) // 40
+    return 1 if len(line) < 500 else len(line) // 40
+
+
+_SHAPED = re.compile(rb"""[A-Za-z_\x80-\xff][\w\x80-\xff]*|\d+|"[^"\n]*"|'[^'\n]*'""")
+_SHAPE_OF = {**dict.fromkeys(b"0123456789", b"0"), **dict.fromkeys(b"\"'", b"s")}
+
+
+def _shape(line: bytes) -> bytes:
+    """A line with every word, number and string as one sign."""
+    return _SHAPED.sub(lambda m: _SHAPE_OF.get(m.group()[0], b"x"), line)
 
 
 def statistics(content: bytes) -> dict[str, float]:
-    """max_line, mean_line (bytes), space, alnum, digits,
-    numbers (literals among words and literals), encoded (share of long encoded runs), literal_lines (share, long lines by their rows)."""
+    """max_line, mean_line (bytes), space, alnum, digits, numbers (literals among words and literals), encoded (share of
+    long encoded runs), literal_lines (share, long lines by their rows), size, lines (neither blank nor comments), dense (share in dense lines), marks (share of
+    ; { } ( ) = : in dense lines), distinct (different lines
+    among them) and shapes (their shapes, by the root of their number)."""
     n = max(1, len(content))
     lines = content.split(b"\n")
     sizes = [len(x) for x in lines]
-    full = [x for x in lines if x.strip() and not _COMMENT_LINE.match(x)]
+    full = [x for x in map(bytes.strip, lines) if x]
+    code = [x for x in full if not _COMMENT_LINE.match(x)]
+    distinct = set(code)
     numbers = len(_NUMBER.findall(content))
+    thick = b"".join(x for x in lines if len(x) >= DENSE)
     return {
         "max_line": float(max(sizes)), "mean_line": n / max(1, sum(1 for x in sizes if x)), "space": 1 - len(content.translate(None, _SPACE)) / n,
         "alnum": 1 - len(content.translate(None, _ALNUM)) / n, "digits": 1 - len(content.translate(None, _DIGITS)) / n,
         "numbers": numbers / max(1, numbers + len(_WORD.findall(content))), "encoded": sum(map(len, _RUN.findall(content))) / n,
-        "literal_lines": sum(_rows(x) for x in full if _LITERAL_LINE.match(x)) / max(1, sum(map(_rows, full))),
+        "literal_lines": sum(_rows(x) for x in code if _LITERAL_LINE.match(x)) / max(1, sum(map(_rows, code))),
+        "size": float(len(content)), "lines": float(len(code)), "dense": len(thick) / n, "marks": 1 - len(thick.translate(None, b";{}()=:")) / max(1, len(thick)),
+        "distinct": float(len(distinct)), "shapes": len(set(map(_shape, distinct))) / max(1, len(distinct)) ** 0.5,
     }
 
 
-def origin(path: str, language: str | None, content: str) -> tuple[str | None, dict[str, float], int | None]:
-    """What a file is (generated, minified, vendored, data or None), its statistics, and the digest of its body."""
-    raw = content.encode("utf-8", "surrogatepass")
-    stats = statistics(raw)
+def layout(stats: dict[str, float], language: str | None) -> str | None:
+    """What a file is by its layout alone: generated, minified, data or None."""
     limits = LIMITS.get(language or "", _DEFAULT)
+    s = stats
+    if s["space"] <= limits.dense_space and s["marks"] >= limits.marks and s["encoded"] < limits.encoded and (s["dense"] >= limits.dense_share or s["mean_line"] >= DENSE):
+        return "minified"
+    if s["lines"] * 40 + s["size"] >= limits.rows * 40 and (s["digits"] >= limits.digits or s["numbers"] >= limits.numbers or s["encoded"] >= limits.encoded or s["literal_lines"] >= limits.row_share):
+        return "data"
+    if s["distinct"] >= limits.shape_lines and s["shapes"] <= limits.shapes and s["literal_lines"] >= limits.brackets and s["space"] <= limits.shape_space:
+        return "generated"
+    return None
+
+
+def marks(path: str, content: str) -> tuple[str | None, str | None, int | None]:
+    """What notes, folders and the name say a file is, the folder that only makes it likely to be vendored, and the digest of its body."""
+    raw = content.encode("utf-8", "surrogatepass")
     folders, name = path.split("/")[:-1], path.rsplit("/", 1)[-1]
     head = _comments_at_head(content)
     body = raw.replace(b"\r", b"")
     body = body[_OPENING.match(body).end() :].strip()
-    digest = xxhash.xxh3_64_intdigest(body) - (1 << 63) if len(body) >= limits.twin else None
-    thick = b"".join(x for x in raw.split(b"\n") if len(x) >= min(limits.long_line, limits.dense_mean))
-    dense = len(thick) / max(1, len(raw))
-    marks = 1 - len(thick.translate(None, b";{}()=:")) / max(1, len(thick))
-    big = len(raw) >= 400
+    digest = xxhash.xxh3_64_intdigest(body) - (1 << 63) if len(body) >= TWIN else None
     kind = None
     if VENDOR_FOLDERS.intersection(folders) or _VENDOR_NOTE.search(head):
         kind = "vendored"
     elif _TOOL_NAME.search(name) or _SURE_FOLDERS.intersection(folders) or _HEAD_NOTE.search(head):
         kind = "generated"
-    elif big and stats["space"] <= limits.dense_space and marks >= limits.marks and stats["encoded"] < limits.encoded and (dense >= limits.dense_share or stats["mean_line"] >= limits.dense_mean) or _MINIFIED_NAME.search(name):
+    elif _MINIFIED_NAME.search(name):
         kind = "minified"
-    elif big and raw.count(b"\n") * 40 + len(raw) >= limits.rows * 40 and (stats["digits"] >= limits.digits or stats["numbers"] >= limits.numbers or stats["encoded"] >= limits.encoded or stats["literal_lines"] >= limits.row_share):
-        kind = "data"
-    return kind, stats, digest
+    return kind, next((f for f in folders if f in LIKELY_FOLDERS), None), digest
+
+
+def origin(path: str, language: str | None, content: str) -> tuple[str | None, dict[str, float], int | None]:
+    """What a file is without its corpus (generated, minified, vendored, data or None), its statistics, and the digest of its body."""
+    stats = statistics(content.encode("utf-8", "surrogatepass"))
+    marked, _, digest = marks(path, content)
+    return marked or layout(stats, language), stats, digest
 
 
-_FIELDS = ("max_line", "mean_line", "space", "alnum", "digits", "numbers", "encoded", "literal_lines")
+_FIELDS = ("max_line", "mean_line", "space", "alnum", "digits", "numbers", "encoded", "literal_lines", "size", "lines", "dense", "marks", "distinct", "shapes")
 
 
-def file_origins(files: DataFrame, contents: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """file_id, path, language, origin (generated, minified, vendored, data or null for hand-written) and the layout
-    statistics of every distinct row of `contents` with content.
+def file_origins(files: DataFrame, contents: DataFrame, *, likely_share: float = 0.5, likely_weight: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """file_id, path, language, origin (generated, minified, vendored, data or null for hand-written), layout (what the
+    statistics alone say), marked (what note, name or folder say) and the statistics of every distinct row of `contents` with content.
 
     Input: files (file_id, path, language) and contents (file_id, path, content); further columns are ignored. A file
     without a row in `files` has a null language and the general limits; null contents and null ids yield no row, empty
     contents are hand-written. A copy of a vendored file, equal to it apart from comments at the head and line ends, is
-    vendored; copies hot enough to hold a third of all rows are spread over salted tasks.
+    vendored; copies hot enough to hold a third of all rows are spread over salted tasks. Files in a folder of
+    LIKELY_FOLDERS are vendored if of the files in folders of that name in their repository a share of likely_share bears a
+    note or is such a copy; the share of all repositories counts like likely_weight files more. Contents are not shuffled.
     """
-    known = files.select("file_id", "language").where("file_id is not null").groupBy("file_id").agg(F.max("language").alias("language"))
-    rows = contents.select("file_id", "path", "content").where("file_id is not null and content is not null").join(known, "file_id", "left").select("file_id", "path", "language", "content")
-    schema = "file_id long, path string, language string, origin string, body long, " + ", ".join(f"{c} double" for c in _FIELDS)
+    rows = contents.select("file_id", "path", "content").where("file_id is not null and content is not null")
+    schema = "file_id long, path string, marked string, likely string, body long, " + ", ".join(f"{c} double" for c in _FIELDS)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, language, content = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            kinds, stats, bodies = zip(*(origin(p or "", g, c) for p, g, c in zip(path, language, content))) if path else ((), (), ())
+            found, stats = [], []
+            for p, c in zip(batch.column(1).to_pylist(), batch.column(2)):
+                text = c.as_py()
+                found.append(marks(p or "", text))
+                stats.append(statistics(text.encode("utf-8", "surrogatepass")))
+            kinds, likely, bodies = zip(*found) if found else ((), (), ())
             cols = [pa.array([s[f] for s in stats], pa.float64()) for f in _FIELDS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(kinds, pa.string()), pa.array(bodies, pa.int64()), *cols], ["file_id", "path", "language", "origin", "body", *_FIELDS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string()), pa.array(likely, pa.string()), pa.array(bodies, pa.int64()), *cols], ["file_id", "path", "marked", "likely", "body", *_FIELDS])
+
+    @F.pandas_udf("string")
+    def by_layout(language, stats):
+        import pandas as pd
 
-    measured = cut(rows.mapInArrow(measure, schema))
-    vendored = measured.where("origin = 'vendored' and body is not null").select("body").distinct().withColumn("copied", F.lit(True))
-    joined = join_small(measured, vendored, ["body"], "left", max_rows=broadcast_rows)
-    return joined.withColumn("origin", F.when(F.col("copied"), "vendored").otherwise(F.col("origin"))).drop("body", "copied").distinct()
+        return pd.Series([layout(s, g) for g, s in zip(language, stats.to_dict("records"))], dtype=object)
+
+    known = files.select("file_id", "language").where("file_id is not null").groupBy("file_id").agg(F.max("language").alias("language"))
+    measured = rows.mapInArrow(measure, schema).join(known, "file_id", "left")
+    measured = cut(measured.withColumn("layout", by_layout("language", F.struct(*_FIELDS))))
+    copied = F.lit(True).alias("copied")
+    known_bodies = measured.where("marked = 'vendored' and body is not null").select("body").distinct()
+    likely = join_small(measured.where("likely is not null").select("path", "likely", "marked", "body"), known_bodies.select("body", copied), ["body"], "left", max_rows=broadcast_rows)
+    repository = F.substring_index("path", "/", 1).alias("repository")
+    each = likely.groupBy(repository, "likely").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("copied"), F.col("marked") == "vendored", F.lit(False))).alias("k"))
+    total = each.groupBy("likely").agg((F.sum("k") / F.sum("n")).alias("share"))  # four names at most
+    share = (F.col("k") + likely_weight * F.col("share")) / (F.col("n") + likely_weight)
+    trusted = cut(each.join(F.broadcast(total), "likely").where(share >= likely_share).select("repository", "likely", F.lit(True).alias("trusted")))
+    joined = join_small(measured.select("*", repository), trusted, ["repository", "likely"], "left", max_rows=broadcast_rows)
+    sure = F.coalesce(F.col("trusted"), F.col("marked") == "vendored", F.lit(False))
+    bodies = cut(joined.where(sure & F.col("body").isNotNull()).select("body").distinct())
+    joined = join_small(joined, bodies.select("body", copied), ["body"], "left", max_rows=broadcast_rows)
+    origin = F.when(sure | F.col("copied"), "vendored").otherwise(F.coalesce("marked", "layout"))
+    return joined.select("file_id", "path", "language", origin.alias("origin"), "layout", "marked", *_FIELDS).distinct()

@@ -72,3 +72,31 @@ def test_long_lines_in_linear_time():
     for line in ("1" * 500_000 + "x", '"' + "a" * 500_000, "1.5e7, " * 100_000 + "x", '"a" ' * 100_000 + "x"):
         assert statistics(line.encode())["literal_lines"] == 0
     assert time.process_time() - began < 10
+
+
+def test_generated_by_layout_alone():
+    fields = ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta")
+    ts = "".join(f'export interface {f.title()}Message {{\n  {f}Id: number;\n  {f}Name: string;\n}}\n\nexport function decode{f.title()}(reader: Reader): {f.title()}Message {{\n  return reader.read("{f}", {n});\n}}\n\n' for n, f in enumerate(fields))
+    java = "".join(f"    public String get{f.title()}() {{\n        return this.{f};\n    }}\n    public void set{f.title()}(String {f}) {{\n        this.{f} = {f};\n    }}\n" for f in fields)
+    assert kind("a/b/x.ts", "ts", ts) == "generated" and kind("a/b/x.java", "java", "class A {\n" + java + "}\n") == "generated"
+    assert kind("a/b/x.ts", "ts", ts[:300]) is None and kind("a/b/x.go", "go", CODE * 10) is None
+
+
+def test_evidence_is_reported_apart(spark):
+    dense = "".join(f"function a{i}(x){{return x.b({i})}};" for i in range(60))
+    rows = [(1, "r/p/src/x.js", dense, "", ""), (2, "r/p/src/x.pb.go", CODE, "", ""), (3, "r/p/dist/x.min.js", dense, "", ""), (4, "r/p/src/own.go", CODE + "var a = 1\n", "", "")]
+    contents = spark.createDataFrame(rows, CONTENTS)
+    files = spark.createDataFrame([(1, "js", "p", 0), (2, "go", "p", 0), (3, "js", "p", 0), (4, "go", "p", 0)], FILES)
+    assert {r.file_id: (r.origin, r.layout, r.marked) for r in file_origins(files, contents).collect()} == {1: ("minified", "minified", None), 2: ("generated", None, "generated"), 3: ("minified", "minified", "minified"), 4: (None, None, None)}
+
+
+def test_likely_folders_need_evidence(spark):
+    body = CODE.replace("Do", "Own{0}").replace("input", "value{0}")
+    own = [(i, f"r/p/external/f{i}.go", body.replace("{0}", str(i)), "", "") for i in range(9)]
+    taken = [(20 + i, f"s/p/deps/k/f{i}.go", ("// upstream copy, see https://kit.invalid\n" if i % 4 else "") + body.replace("{0}", f"b{i}"), "", "") for i in range(9)]
+    copy = [(40, "t/q/src/y.go", body.replace("{0}", "b0"), "", "")]
+    contents = spark.createDataFrame(own + taken + copy, CONTENTS)
+    files = spark.createDataFrame([], FILES)
+    for limit in (100, 0):
+        got = {r.file_id for r in file_origins(files, contents, broadcast_rows=limit).where("origin = 'vendored'").collect()}
+        assert got == {20 + i for i in range(9)} | {40}
