@@ -3,13 +3,13 @@ expressions, and panic-mode recovery, so that one pass finds all errors."""
 
 from __future__ import annotations
 
-import ast
 import json
 import re
 import warnings
 from bisect import bisect_right
 
 from lodeglass.llm.parsing import go_text, java_text, json_text, python_text, script
+from lodeglass.llm.parsing.base import deep_calls
 from lodeglass.llm.parsing.shell_text import Shell
 
 _SYNTHETIC = frozenset(("nl", "indent", "dedent"))
@@ -38,6 +38,11 @@ def _shell_lines(s: Shell) -> list[tuple[int, str]]:
 def syntax_errors(text: str, language: str) -> list[tuple[int, str]] | None:
     """(line, message) of all errors; None if nothing can be said: an unknown language, or nesting beyond
     measure with no error before it; the errors before it are kept, as they make the text invalid."""
+    with deep_calls():
+        return _errors(text, language)
+
+
+def _errors(text: str, language: str) -> list[tuple[int, str]] | None:
     p = s = None
     try:
         if language == "json":
@@ -46,8 +51,8 @@ def syntax_errors(text: str, language: str) -> list[tuple[int, str]] | None:
             tokens = json_text.TOKENS
             p.parse()
         elif language == "python":
-            k, ends = python_text.kinds(text)
-            p = python_text.Python(k, ends)
+            k, ends, names = python_text.kinds(text)
+            p = python_text.Python(k, ends, names)
             tokens = python_text.TOKENS
             p.parse()
         elif language in ("ts", "typescript", "js", "javascript"):
@@ -77,6 +82,8 @@ def syntax_errors(text: str, language: str) -> list[tuple[int, str]] | None:
             return _shell_lines(s)
         if not p or not p.errors:
             return None
+    if not p.errors and language in ("js", "javascript"):
+        return script.redeclared(text)
     if not p.errors or _exactly_valid(text, language):
         return []
     return _lines(text, k, p.errors, tokens)
@@ -88,8 +95,8 @@ def _exactly_valid(text: str, language: str) -> bool:
         if language == "python":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(text)
-            return not re.search(r"^return\b", text, re.M)
+                compile(text, "text", "exec", dont_inherit=True)  # nothing is run
+            return True
         if language == "json":
             json.loads(text, parse_constant=lambda _: 1 / 0)
             return True

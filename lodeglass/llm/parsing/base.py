@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+#: Calls that a parser may have open at once. They are Python's own and take no room on the stack of the process.
+DEEPEST = 1_000_000
 #: Statements of one line that are known to be right, by context and token kinds; emptied when it has grown too large.
 MEMO_LIMIT = 300_000
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 4_000))
+
+@contextmanager
+def deep_calls() -> Iterator[None]:
+    """Lets a parser go as deep as DEEPEST, and nothing else."""
+    kept = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(kept, DEEPEST))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(kept)
 
 
 class Bad(Exception):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from lodeglass.llm.parsing.base import Bad, Parser, line_ends
 
@@ -22,11 +23,115 @@ _BINARY = {"|": 1, "^": 2, "&": 3, "<<": 4, ">>": 4, "+": 5, "-": 5, "*": 6, "/"
 _STOPS = frozenset(") ] } , : ; = nl eof for if else async in".split())
 
 
-def kinds(text: str) -> tuple[list[str], list[int]]:
-    """Kinds with nl, indent and dedent; a line whose indentation fits none before gets 'bad'."""
+#: Decimal numbers with a leading zero, unless they are nought or no whole numbers.
+_OCTAL = re.compile(r"0[\d_]*[1-9][\d_]*")
+_ESCAPE = re.compile(r"\\(?:N\{([^{}]*)\}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|([NxuU])|[\s\S])")
+_PREFIX = re.compile(r"[a-zA-Z]*")
+#: Fixed value: brackets that the language's own reader lets stand open.
+_DEEPEST_BRACKETS = 200
+
+
+def _good_string(string: str) -> bool:
+    """Whether the escapes and fields of a string literal are right."""
+    prefix = _PREFIX.match(string).group().lower()
+    body = string[len(prefix) :]
+    quote = 3 if body[:3] in ('"' * 3, "'" * 3) else 1
+    body = body[quote:-quote]
+    if "b" in prefix and not body.isascii():
+        return False
+    if "r" not in prefix and "\\" in body:
+        for m in _ESCAPE.finditer(body):
+            if "b" in prefix:
+                if m.group(2) == "x":
+                    return False
+            elif m.group(2):
+                return False
+            elif m.group(1) is not None:
+                try:
+                    unicodedata.lookup(m.group(1))
+                except KeyError:
+                    return False
+    return ("f" not in prefix and "t" not in prefix) or _good_fields(body, 0)
+
+
+def _good_fields(body: str, nested: int) -> bool:
+    """Whether the fields of an f-string hold expressions. Nested fields stand in formats, two deep at most."""
+    if nested > 2:
+        return False
+    at, n = 0, len(body)
+    while at < n:
+        c = body[at]
+        if c == "}":
+            if nested or body[at : at + 2] != "}}":
+                return False
+            at += 2
+        elif c != "{":
+            at += 1
+        elif body[at : at + 2] == "{{" and not nested:
+            at += 2
+        else:
+            depth, start, stop, form = 0, at + 1, -1, -1
+            at += 1
+            while at < n and stop < 0:
+                c = body[at]
+                if c in "\"'":
+                    end = body.find(c * 3, at + 3) + 2 if body.startswith(c * 3, at) else body.find(c, at + 1)
+                    if end < at + 1:
+                        return False
+                    at = end
+                elif c in "([{":
+                    depth += 1
+                elif c in ")]}" and depth:
+                    depth -= 1
+                elif c == "}":
+                    stop = at
+                elif not depth and (c == ":" or c == "!" and body[at + 1 : at + 2] != "="):
+                    form = at
+                    break
+                at += 1
+            code = body[start : stop if stop >= 0 else form if form >= 0 else n]
+            if stop < 0:
+                if form < 0:
+                    return False
+                if body[form] == "!":
+                    conversion = re.compile(r"![rsa]\s*(?=[:}])").match(body, form)
+                    if not conversion:
+                        return False
+                    form = conversion.end()
+                depth, stop = 0, form
+                while stop < n and (depth or body[stop] != "}"):
+                    depth += (body[stop] == "{") - (body[stop] == "}")
+                    stop += 1
+                if stop == n or body[form] == ":" and not _good_fields(body[form + 1 : stop], nested + 1):
+                    return False
+            code = re.sub(r"(?<![=!<>])=\s*$", "", code)
+            if not code.strip() or not _is_expression(code):
+                return False
+            at = stop + 1
+    return True
+
+
+def _is_expression(code: str) -> bool:
+    if re.fullmatch(r"\s*[^\W\d]\w*(?:\.[^\W\d]\w*)*(?:\(\)|\[\w+\])?\s*", code) and not any(w in KEYWORDS for w in re.findall(r"\w+", code)):
+        return True
+    k, ends, names = kinds(f"({code})")
+    p = Python(k, ends, names)
+    p.function = p.asynchronous = True
+    try:
+        p.expression_statement()
+    except Bad:
+        return False
+    return p.k[p.i] == "nl"
+
+
+def kinds(text: str) -> tuple[list[str], list[int], dict[int, str]]:
+    """Kinds with nl, indent and dedent, and the names by their index; what can't be right gets 'bad': a line whose
+    indentation fits none before, whatever a tab is worth, numbers with leading zeros, strings with wrong escapes or
+    fields, brackets in brackets beyond measure."""
     out: list[str] = []
+    names: dict[int, str] = {}
     breaks: list[int] = []
-    depth, levels = 0, [0]
+    depth, levels, narrow = 0, [0], [0]
     add, known = out.append, _KINDS.get
     first = True
     text = text.removeprefix("\ufeff")
@@ -34,15 +139,21 @@ def kinds(text: str) -> tuple[list[str], list[int]]:
     if lead and not re.match(r"[ \t\f]*(?:#|\r?\n|\Z)", text):
         add("indent")
         levels.append(len(lead.expandtabs(8)))
+        narrow.append(len(lead))
     for gap, string, word, num, op, bad in TOKENS.findall(text):
         if op:
             if op in ("(", "[", "{"):
                 depth += 1
+                if depth > _DEEPEST_BRACKETS:
+                    add("bad")
             elif op in (")", "]", "}"):
                 depth = max(0, depth - 1)
             add(op)
         elif word:
-            add(known(word, "name"))
+            kind = known(word, "name")
+            if kind == "name":
+                names[len(out)] = word
+            add(kind)
         elif gap:
             breaks.append(len(out))
             if depth or not out and first:
@@ -54,20 +165,25 @@ def kinds(text: str) -> tuple[list[str], list[int]]:
                 add("nl")
                 breaks[-1] = len(out)
             tail = gap[gap.rfind("\n") + 1 :]
-            width = len(tail.expandtabs(8)) if "\t" in tail else len(tail)
+            tail = tail[tail.rfind("\f") + 1 :]
+            width, least = len(tail.expandtabs(8)) if "\t" in tail else len(tail), len(tail)
             if width > levels[-1]:
+                if least <= narrow[-1]:
+                    add("bad")
                 levels.append(width)
+                narrow.append(least)
                 add("indent")
             else:
                 while width < levels[-1]:
                     levels.pop()
+                    narrow.pop()
                     add("dedent")
-                if width != levels[-1]:
+                if width != levels[-1] or least != narrow[-1]:
                     add("bad")
         elif string:
-            add("str")
+            add("str" if string[0] in "\"'" and "\\" not in string or _good_string(string) else "bad")
         elif num:
-            add("num")
+            add("bad" if num[0] == "0" and _OCTAL.fullmatch(num) else "num")
         elif bad:
             add("bad")
         first = False
@@ -75,19 +191,21 @@ def kinds(text: str) -> tuple[list[str], list[int]]:
     while out and out[-1] == "indent":
         out.pop()
         levels.pop()
+        narrow.pop()
     if out and out[-1] not in ("nl", "dedent"):
         add("nl")
     out += ["dedent"] * (len(levels) - 1)
     add("eof")
-    return out, line_ends(breaks, len(out))
+    return out, line_ends(breaks, len(out)), names
 
 
 class Python(Parser):
     memo: set = set()
 
-    def __init__(self, k, ends):
+    def __init__(self, k, ends, names):
         super().__init__(k, ends)
-        self.function = self.loop = False
+        self.names = names
+        self.function = self.loop = self.asynchronous = False
 
     def parse(self) -> None:
         while self.k[self.i] != "eof":
@@ -122,11 +240,12 @@ class Python(Parser):
         if t == "match" and self.match():
             return
         start = self.i
-        context = (self.function, self.loop)
+        context = (self.function, self.loop, self.asynchronous)
         if self.known(context):
             return
         self.simple_line()
-        self.remember(start, context)
+        if "lambda" not in self.k[start : self.i]:  # whose parameters' names count
+            self.remember(start, context)
 
     def simple_line(self) -> None:
         while True:
@@ -161,6 +280,8 @@ class Python(Parser):
             self.i += 1
             self.star_expressions()
         elif t in ("global", "nonlocal"):
+            if t == "nonlocal" and not self.function:
+                self.fail("nonlocal outside a function")
             self.i += 1
             self.name()
             while self.take(","):
@@ -321,8 +442,6 @@ class Python(Parser):
             self.take("*")
             if self.k[self.i] != ":":
                 self.test()
-                while self.take(","):
-                    self.test()
                 if self.take("as"):
                     self.name()
             self.block()
@@ -363,7 +482,9 @@ class Python(Parser):
         self.i += 1
         t = self.k[self.i]
         if t == "def":
-            self.def_()
+            self.def_(True)
+        elif t in ("for", "with") and not self.asynchronous:
+            self.fail(f"async {t} outside an async function")
         elif t == "for":
             self.for_()
         elif t == "with":
@@ -385,7 +506,7 @@ class Python(Parser):
                     break
             self.expect("]")
 
-    def def_(self) -> None:
+    def def_(self, asynchronous: bool = False) -> None:
         self.i += 1
         self.name()
         self.type_parameters()
@@ -394,21 +515,29 @@ class Python(Parser):
         self.expect(")")
         if self.take("->"):
             self.test()
-        kept = self.function, self.loop
-        self.function, self.loop = True, False
+        kept = self.function, self.loop, self.asynchronous
+        self.function, self.loop, self.asynchronous = True, False, asynchronous
         try:
             self.block()
         finally:
-            self.function, self.loop = kept
+            self.function, self.loop, self.asynchronous = kept
+
+    def parameter(self, known: set) -> None:
+        name = self.names.get(self.i, self.k[self.i])
+        if name in known:
+            self.fail(f"a second parameter {name}")
+        known.add(name)
+        self.name()
 
     def parameters(self, close: str, annotated: bool) -> None:
         k = self.k
+        known: set = set()
         defaulted = star = False
         while k[self.i] != close:
             if self.take("/"):
                 pass
             elif self.take("**"):
-                self.name()
+                self.parameter(known)
                 if annotated and self.take(":"):
                     self.test()
                 self.take(",")
@@ -416,14 +545,14 @@ class Python(Parser):
             elif self.take("*"):
                 star = True
                 if k[self.i] in _NAMES:
-                    self.i += 1
+                    self.parameter(known)
                     if annotated and self.take(":"):
                         self.take("*")
                         self.test()
                 elif k[self.i] != ",":
                     self.fail("expected a parameter")
             else:
-                self.name()
+                self.parameter(known)
                 if annotated and self.take(":"):
                     self.test()
                 if self.take("="):
@@ -440,12 +569,12 @@ class Python(Parser):
         self.type_parameters()
         if self.k[self.i] == "(":
             self.call()
-        kept = self.function, self.loop
-        self.function = self.loop = False
+        kept = self.function, self.loop, self.asynchronous
+        self.function = self.loop = self.asynchronous = False
         try:
             self.block()
         finally:
-            self.function, self.loop = kept
+            self.function, self.loop, self.asynchronous = kept
 
     def decorated(self) -> None:
         while self.take("@"):
@@ -563,7 +692,12 @@ class Python(Parser):
             self.i += 1
             self.parameters(":", False)
             self.expect(":")
-            self.test()
+            kept = self.function, self.asynchronous
+            self.function, self.asynchronous = True, False
+            try:
+                self.test()
+            finally:
+                self.function, self.asynchronous = kept
             return False
         if t == "yield":
             self.yield_()
@@ -578,6 +712,8 @@ class Python(Parser):
         return good
 
     def yield_(self) -> None:
+        if not self.function:
+            self.fail("yield outside a function")
         self.i += 1
         if self.take("from"):
             self.test()
@@ -636,7 +772,11 @@ class Python(Parser):
                 self.i += 1
             self.factor()
             return False
-        awaited = self.take("await")
+        awaited = self.k[self.i] == "await"
+        if awaited:
+            if not self.asynchronous:
+                self.fail("await outside an async function")
+            self.i += 1
         good = self.trailed()
         if k[self.i] == "**":
             self.i += 1

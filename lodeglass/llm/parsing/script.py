@@ -7,7 +7,7 @@ import re
 from lodeglass.llm.parsing.base import Bad, Parser, line_ends
 
 _WORD = r"(?:[A-Za-z_$\u00aa\u00b5\u00c0-\u1fff\u2c00-\ufdff]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u00aa-\u1fff\u200c\u200d\u2c00-\ufdff]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
-_NUM = r"0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:\d(?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?(?:[eE][+-]?\d+)?n?|\.\d(?:_?\d)*(?:[eE][+-]?\d+)?"
+_NUM = r"0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0(?![\d_])|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?(?:[eE][+-]?\d+)?n?|\.\d(?:_?\d)*(?:[eE][+-]?\d+)?"
 _STR = r""""(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"""
 _TMPL = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^`{}]*\})*`"
 _OP = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@]"
@@ -62,6 +62,39 @@ def kinds(text: str, ts: bool) -> tuple[list[str], list[int], list[bool]]:
     return out, line_ends(breaks, len(out)), broken
 
 
+#: Declarations at the start of a line or behind a semicolon; only files with two of one name are looked at closely.
+_DECLARED = re.compile(r"(?:^|;[ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:let|const|class|var|(?:async[ \t]+)?function[ \t]*\*?)[ \t]+([\w$]+)", re.M)
+
+
+def redeclared(text: str) -> list[tuple[int, str]]:
+    """(line, message) of the names that a valid module declares twice at its top level, other than by var alone."""
+    names = _DECLARED.findall(text)
+    if len(set(names)) == len(names):
+        return []
+    out, known = [], {}
+    depth, line, waiting, last, fresh = 0, 1, None, None, True
+    for token in _careful(text):
+        gap, word, _, _, _, op, _ = token
+        whole = "".join(token)
+        if word:
+            if waiting:
+                if known.get(word, waiting) != waiting or word in known and waiting != "var":
+                    out.append((line, f"{word} is declared twice"))
+                known[word], waiting = waiting, None
+            elif depth == 0 and word in ("let", "const", "class", "var", "function") and (fresh or last in (None, ";", "}", "export", "default", "async")):
+                waiting = word
+        elif op:
+            if op != "*":
+                waiting = None
+            depth += (op in ("(", "[", "{")) - (op in (")", "]", "}"))
+        if gap:
+            fresh = fresh or "\n" in gap
+        elif whole:
+            last, fresh = word or op, False
+        line += whole.count("\n")
+    return out
+
+
 def _careful(text: str) -> list[tuple]:
     """As TOKENS.findall, with regular expressions and nested templates told apart by what stands before."""
     out: list[tuple] = []
