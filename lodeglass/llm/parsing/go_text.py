@@ -578,6 +578,8 @@ class Go(Parser):
             self.expression()
         except Bad as bad:
             far = self.i
+            if self.k[far] == "eof":  # a type would end there as well
+                raise
             self.i = kept
             try:
                 self.type()

@@ -50,6 +50,7 @@ class Java(Parser):
     def __init__(self, k, ends):
         super().__init__(k, ends)
         self.nested = 0
+        self.closes: dict[int, int] | None = None
         self.loop = self.switch = 0
 
     def parse(self) -> None:
@@ -705,24 +706,28 @@ class Java(Parser):
         self.i += n
         return n > 0
 
+    def closing(self, at: int) -> int:
+        """The place of the parenthesis that closes the one at a place before any ; or {, or -1; all are paired once."""
+        if self.closes is None:
+            self.closes, opened = {}, []
+            for j, t in enumerate(self.k):
+                if t == "(":
+                    opened.append(j)
+                elif t == ")":
+                    if opened:
+                        self.closes[opened.pop()] = j
+                elif t in (";", "{"):
+                    opened.clear()
+        return self.closes.get(at, -1)
+
     def lambda_(self) -> bool:
         k, i = self.k, self.i
         t = k[i]
         if t in _NAMES and k[i + 1] == "->":
             self.i += 2
         elif t == "(":
-            depth, j = 0, i
-            while True:
-                if k[j] == "(":
-                    depth += 1
-                elif k[j] == ")":
-                    depth -= 1
-                    if depth == 0:
-                        break
-                elif k[j] in ("eof", ";", "{"):
-                    return False
-                j += 1
-            if k[j + 1] != "->":
+            j = self.closing(i)
+            if j < 0 or k[j + 1] != "->":
                 return False
             if k[i + 1] in _NAMES and k[i + 2] in (",", ")"):
                 self.i += 1

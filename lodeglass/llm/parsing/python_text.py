@@ -27,8 +27,6 @@ _STOPS = frozenset(") ] } , : ; = nl eof for if else async in".split())
 _OCTAL = re.compile(r"0[\d_]*[1-9][\d_]*")
 _ESCAPE = re.compile(r"\\(?:N\{([^{}]*)\}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|([NxuU])|[\s\S])")
 _PREFIX = re.compile(r"[a-zA-Z]*")
-#: Fixed value: brackets that the language's own reader lets stand open.
-_DEEPEST_BRACKETS = 200
 
 
 def _good_string(string: str) -> bool:
@@ -127,7 +125,7 @@ def _is_expression(code: str) -> bool:
 def kinds(text: str) -> tuple[list[str], list[int], dict[int, str]]:
     """Kinds with nl, indent and dedent, and the names by their index; what can't be right gets 'bad': a line whose
     indentation fits none before, whatever a tab is worth, numbers with leading zeros, strings with wrong escapes or
-    fields, brackets in brackets beyond measure."""
+    fields."""
     out: list[str] = []
     names: dict[int, str] = {}
     breaks: list[int] = []
@@ -144,8 +142,6 @@ def kinds(text: str) -> tuple[list[str], list[int], dict[int, str]]:
         if op:
             if op in ("(", "[", "{"):
                 depth += 1
-                if depth > _DEEPEST_BRACKETS:
-                    add("bad")
             elif op in (")", "]", "}"):
                 depth = max(0, depth - 1)
             add(op)

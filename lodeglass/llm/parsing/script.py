@@ -184,6 +184,8 @@ class Script(Parser):
         self.broken, self.ts = broken, ts
         self.function = self.loop = self.switch = False
         self.no_in = False
+        self.closes: dict[int, int] | None = None
+        self.untyped: set[int] = set()
 
     # -- statements
 
@@ -863,21 +865,21 @@ class Script(Parser):
             self.i += 1
             self.assignment()
 
+    def closing(self, at: int) -> int:
+        """The place of the bracket that closes the one at a place, or -1; all are paired once."""
+        if self.closes is None:
+            self.closes, opened = {}, []
+            for j, t in enumerate(self.k):
+                if t in ("(", "[", "{"):
+                    opened.append(j)
+                elif opened and t in (")", "]", "}"):
+                    self.closes[opened.pop()] = j
+        return self.closes.get(at, -1)
+
     def arrow(self, at: int) -> bool:
         """Parse an arrow function whose parameters begin at a place, if it is one."""
-        k, depth, j = self.k, 0, at
-        while True:
-            t = k[j]
-            if t in ("(", "[", "{"):
-                depth += 1
-            elif t in (")", "]", "}"):
-                depth -= 1
-                if depth == 0:
-                    break
-            elif t == "eof":
-                return False
-            j += 1
-        if k[j + 1] != "=>" and not (self.ts and k[j + 1] == ":"):
+        k, j = self.k, self.closing(at)
+        if j < 0 or k[j + 1] != "=>" and not (self.ts and k[j + 1] == ":"):
             return False
         kept = self.i
         self.i = at
@@ -1013,6 +1015,8 @@ class Script(Parser):
 
     def call_types(self) -> bool:
         kept = self.i
+        if kept in self.untyped:  # tried before
+            return False
         try:
             self.type_arguments()
             if self.k[self.i] in ("(", ")", "]", ":", ";", ",", ".", "?.", "tmpl", "==", "===", "}", "eof"):
@@ -1190,12 +1194,17 @@ class Script(Parser):
         self.close_angle()
 
     def type_arguments(self) -> None:
+        start = self.i
         self.expect("<")
-        while True:
-            self.type()
-            if not self.take(","):
-                break
-        self.close_angle()
+        try:
+            while True:
+                self.type()
+                if not self.take(","):
+                    break
+            self.close_angle()
+        except Bad:
+            self.untyped.add(start)
+            raise
 
     def type(self) -> None:
         k = self.k

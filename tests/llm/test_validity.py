@@ -88,3 +88,101 @@ def test_errors_before_nesting_beyond_measure(language, bad, good):
     errors = syntax_errors(bad + deep, language)
     assert errors and errors[0][0] <= 3
     assert not syntax_errors(good + deep, language)
+
+
+PYTHON = """import os
+from a.b import (c, d as e)
+
+@dec(1)
+class A(B, metaclass=C):
+    x: int = 0x1f + 1_000 - 0o17
+    async def f(self, a, /, b=1, *args, c, **kw) -> None:
+        async with x as y, z:
+            await q
+        return [w async for w in v if w]
+    def g(self):
+        total = 0
+        def h():
+            nonlocal total
+            total += 1
+        for i in range(3):
+            if i: continue
+            yield i
+        else:
+            pass
+        with open(f"{x!r:>{w}} {a['k']} {{}}") as f: print(f'{x = }', "\\N{DASH}".lower(), b"\\x00", r"\\N")
+        try:
+            del a[0], b.c
+        except (E, F) as e:
+            raise G from e
+        finally:
+            lambda p, q=1, *r: p if q else r
+match x:
+    case {"a": [1, *_], **rest} if rest: pass
+    case A(b=1) | None: pass
+while True:
+    if a and not b or c: break
+"""
+
+
+def compiles(text, read=lambda t: compile(t, "text", "exec", dont_inherit=True)):
+    import warnings
+
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            read(text)
+        return True
+    except (SyntaxError, ValueError):
+        return False
+
+
+def own_verdict(text):
+    """The parser's own word, before the library is asked."""
+    from lodeglass.llm.parsing import python_text
+
+    p = python_text.Python(*python_text.kinds(text))
+    p.parse()
+    return not p.errors
+
+
+PIECES = ["0777", "00", "0.7", "\t", " ", "    ", "\n", ":", "break", "await x", "yield", "nonlocal a", "return", "a, a", "(", ")", "[", "]", "=", "==", "else:", "*", "**k", "f'{a b}'", "f'{a}'", '"\\N{foo}"', '"\\x4"', "b'\u00e9'", "lambda a, a: 1", "async ", "def f(a, a): pass", "if", "in", "not", ",", "\"", "#"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(0, len(PYTHON)), st.integers(0, 6), st.sampled_from(PIECES))
+def test_changed_python_agrees_with_the_compiler(at, cut, piece):
+    assert compiles(PYTHON.replace("DASH", "EM DASH")) and own_verdict(PYTHON.replace("DASH", "EM DASH"))
+    text = PYTHON.replace("DASH", "EM DASH")
+    text = text[:at] + piece + text[at + cut :]
+    accepted = syntax_errors(text, "python") == []
+    # what only the table of names can tell (a nonlocal without a binding) isn't syntax
+    assert accepted if compiles(text) else not accepted or compiles(text, ast.parse)
+
+
+@pytest.mark.parametrize("text", ["x = 0777", "x = 09", '"\\N{foo}"', "f'{a b}'", "if a:\n        x\n\ty\n", "def f(a, a): pass", "lambda a, *a: 1", "break", "nonlocal x", "await x", "def f():\n  await x", "class A:\n  yield 1", "try:\n  a\nexcept A, e:\n  b", '"\\xg"', 'f"{a!z}"', 'f"{}"', 'f"{a"', 'f"}"'])
+def test_python_is_refused_by_the_parser_itself(text):
+    assert not compiles(text) and not own_verdict(text)
+
+
+def test_modules_are_strict_and_declare_once():
+    for text in ("let a; let a", "const a = 1;\nclass a {}\n", "function f() {}\nfunction f() {}\n", "x = 010;", "x = 09;", "let a = 1\nlet a = 2"):
+        assert syntax_errors(text, "js"), text
+    assert syntax_errors("var b;\nvar b;\nlet x; { let x; }\nfunction c() {\nlet d;\n}\nfunction e() {\nlet d;\n}\nconst y = `\nlet y; let y\n`;", "js") == []
+
+
+def test_nesting_in_linear_time():
+    import sys
+    import time
+
+    began, limit = time.process_time(), sys.getrecursionlimit()
+    for language, text in (("js", "(" * 50_000), ("js", "(" * 50_000 + "a" + ")" * 50_000), ("ts", "f<" * 20_000), ("java", "class A { void f() { x = " + "(" * 20_000 + "1" + ")" * 20_000 + "; } }"), ("python", "[" * 50_000), ("bash", "(" * 20_000), ("go", "package a\nvar x = " + "(" * 20_000)):
+        assert syntax_errors(text, language) is not None, language
+    assert time.process_time() - began < 60 and sys.getrecursionlimit() == limit
+
+
+def test_files_whose_language_their_ending_does_not_tell(spark):
+    files = spark.createDataFrame([(1, "json"), (2, "python"), (3, "js"), (4, None)], "file_id long, language string")
+    contents = spark.createDataFrame([(1, "r/a.py", "{}"), (2, "r/b", "x = = 1"), (3, "r/c.JS", "x = ;"), (4, "r/d.py", "x = = 1"), (2, None, "x = 1")], "file_id long, path string, content string")
+    for limit in (100, 0):
+        assert {(r.file_id, r.path, r.language, r.valid) for r in parsed_files(files, contents, broadcast_rows=limit).collect()} == {(1, "r/a.py", "json", True), (2, "r/b", "python", False), (3, "r/c.JS", "js", False), (4, "r/d.py", None, None), (2, None, "python", True)}
