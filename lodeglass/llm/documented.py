@@ -132,6 +132,8 @@ _CODE_LINE = re.compile(
     re.X,
 )
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Scripts that set no blanks between words; two letters count as a word.
+_UNSPACED = re.compile(r"([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{1,2})")
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-zà-ÿ]+|[A-Z]+")
 
 
@@ -148,13 +150,20 @@ def plain_comment(text: str) -> str:
     return "\n".join(lines).strip()
 
 
+def _words(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    if text.isascii():
+        return [w.lower() for w in _WORDS.findall(text)]
+    return [w.lower() for w in _WORDS.findall(_UNSPACED.sub(r" \1 ", text))]
+
+
 def documentation(text: str, name: str) -> str | None:
     """The documentation in a comment, or None if it says no more than the name."""
     kept = []
     plain = plain_comment(text)
     for line in plain.split("\n"):
         s = line.strip()
-        if not s or _MARK.match(s) or _DIRECTIVE.match(s) or re.fullmatch(r"[\W_]*", s) or re.search(r"\{@\w+\}?", s) and len(_WORDS.findall(s)) <= 3:
+        if not s or _MARK.match(s) or _DIRECTIVE.match(s) or re.fullmatch(r"[\W_]*", s) or re.search(r"\{@\w+\}?", s) and len(_words(s)) <= 3:
             continue
         kept.append(s)
     code = sum(bool(_CODE_LINE.match(x)) for x in kept)
@@ -173,7 +182,7 @@ def documentation(text: str, name: str) -> str | None:
                 said.append(rest)
     own = {w.lower() for w in _CAMEL.findall(name)}
     joined = re.sub(r"[\W_]+", "", name).lower()
-    words = [w.lower() for x in said for w in _WORDS.findall(re.sub(rf"\b{re.escape(name)}\b", " ", x))]
+    words = [w for x in said for w in _words(re.sub(rf"\b{re.escape(name)}\b", " ", x))]
     new = [w for w in words if w not in _FILLER and w != joined and len(w) > 1 and not any(w == o or len(o) > 2 and (w.startswith(o) and len(w) - len(o) <= 3 or o.startswith(w) and len(w) > 3) for o in own)]
     return plain if len(set(new)) >= 2 and len(words) >= 3 else None
 
@@ -191,9 +200,9 @@ def documented_functions(symbols: DataFrame, contents: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for n, (path, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for kind, start, end, anchor, text in comment_spans(t.encode("utf-8", "surrogatepass"), path or ""):
-                    if anchor >= 0 and len(text) >= 8:
+            for n, (path, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                for kind, start, end, anchor, text in comment_spans(t.as_py().encode("utf-8", "surrogatepass"), path or ""):
+                    if anchor >= 0:
                         rows.append((n, kind, end if kind == "comment" else anchor, anchor, text))
             if rows:
                 at, kind, pos, anchor, text = zip(*rows)

@@ -1,8 +1,9 @@
 """Oversized contents and symbols cut into pieces at natural boundaries, by packing a structure tree.
 
-The lines of an item form a tree: headings over what follows them, declarations over their bodies, list items and
-brackets over what is indented below. Sibling subtrees are merged up to the limit; only subtrees that exceed it are
-opened, down to single lines, which are cut between statements, words or characters if they must be.
+The lines of an item form a tree: headings over what follows them, elements of markup over their content,
+declarations, list items and brackets over what is indented below. Bottom-up, sibling subtrees are merged to the limit;
+only subtrees that exceed it are opened, down to single lines, which are cut between statements, words or characters if
+they must be. No piece holds the end of one opened subtree and the beginning of the next.
 """
 
 from __future__ import annotations
@@ -15,6 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _HEADING = re.compile(rb"(#{1,6})[ \t]+\S")
+_UNDERLINE = re.compile(rb"(=|-|~|\^)\1{2,}[ \t]*\r?\n?\Z")
+_ELEMENT = re.compile(rb"<(/?)([A-Za-z][\w:.-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?(/?)>")
+#: Elements of HTML that have no end.
+_EMPTY = frozenset(b"area base br col embed hr img input link meta source track wbr".split())
+#: Endings of paths: texts divided by headings, and files divided by elements. Other endings that aren't those of
+#: texts are code, where # begins a comment.
+MARKUP = ("html", "htm", "xhtml", "xml", "svg", "vue", "svelte")
 _CLOSING = re.compile(rb"[\s)\]}]*(?:[)\]};,]|</|end\b|fi\b|done\b|esac\b|else\b|elif\b|except\b|finally\b|catch\b)")
 _LEADING = re.compile(rb"\s*(?://|/\*|\*|\#(?!!)|@|<!--|--)")
 _MARKS = (b";\n", b"}", b";", b"\n", b">", b",", b" ", b")")
@@ -37,6 +45,25 @@ def _line_starts(data: bytes) -> list[int]:
     return out
 
 
+def _element_depths(data: bytes, starts: list[int]) -> list[int | None]:
+    """As _depths, by the elements that are open where a line begins; a line that only closes goes with the one before."""
+    out: list[int | None] = []
+    level, k = 0, 0
+    ends = starts[1:] + [len(data)]
+    found = _ELEMENT.finditer(data)
+    m = next(found, None)
+    for k, end in enumerate(ends):
+        line = data[starts[k] : end].strip()
+        out.append(None if not line or line.startswith(b"</") else min(level, 60))
+        while m and m.start() < end:
+            if m.group(1):
+                level = max(0, level - 1)
+            elif not m.group(3) and m.group(2).lower() not in _EMPTY:
+                level += 1
+            m = next(found, None)
+    return out
+
+
 def _depths(data: bytes, starts: list[int], headings: bool) -> list[int | None]:
     """Depth of the node a line begins; None for lines that go with the line before."""
     out: list[int | None] = []
@@ -54,6 +81,12 @@ def _depths(data: bytes, starts: list[int], headings: bool) -> list[int | None]:
             out.append(base - 1)
             lead = -1
             continue
+        if headings and k and out[k - 1] is not None and (m := _UNDERLINE.match(line)) and len(line.strip()) >= 3:  # of the line before
+            base = 1 + b"=-~^".index(m.group(1))
+            out[k - 1] = base - 1
+            out.append(None)
+            lead = -1
+            continue
         depth = base + min(60, sum(4 if c == 9 else 1 for c in line[: len(line) - len(body)]))
         if _CLOSING.match(line):
             out.append(None)
@@ -67,10 +100,10 @@ def _depths(data: bytes, starts: list[int], headings: bool) -> list[int | None]:
     return out
 
 
-def structure(data: bytes, starts: list[int], headings: bool) -> _Node:
+def structure(data: bytes, starts: list[int], headings: bool, markup: bool = False) -> _Node:
     root = _Node(0, -1)
     stack = [root]
-    for k, depth in enumerate(_depths(data, starts, headings)):
+    for k, depth in enumerate(_element_depths(data, starts) if markup else _depths(data, starts, headings)):
         if depth is None:
             continue
         while stack[-1].depth >= depth:
@@ -94,60 +127,55 @@ def _within(data: bytes, start: int, end: int, limit: int) -> list[int]:
     return cuts
 
 
-def own_ranges(data: bytes, limit: int, headings: bool = False) -> list[tuple[int, int]]:
+def own_ranges(data: bytes, limit: int, headings: bool = False, markup: bool = False) -> list[tuple[int, int]]:
     """Consecutive ranges of at most `limit` bytes that cover the data, cut at the boundaries of the structure tree."""
     if not data:
         return []
     starts = _line_starts(data)
     begin = lambda k: starts[k] if k < len(starts) else len(data)
-    out: list[tuple[int, int]] = []
-
-    def close(start: int, end: int) -> None:
-        if start < end:
-            for c in [*_within(data, start, end, limit), end]:
-                out.append((start, c))
-                start = c
-
-    todo: list[tuple[_Node, int]] = [(structure(data, starts, headings), len(starts))]
-    open_at, at = 0, 0  # the piece being filled, and up to where
-    while todo:
-        node, last = todo.pop()
-        first = begin(0 if node.depth < 0 else node.first)
-        end = begin(last)
-        if end - open_at <= limit:
-            at = end
-            continue
-        if end - first <= limit:
-            close(open_at, first)
-            open_at, at = first, end
-            continue
-        if node.children:  # too large: its head goes on, its children are merged one by one
-            ends = [c.first for c in node.children[1:]] + [last]
-            head = begin(node.children[0].first)
-            if head - open_at > limit:
-                close(open_at, first)
-                open_at = first
-            at = head
-            todo += list(zip(node.children, ends))[::-1]
-        else:  # lines that nothing divides
-            close(open_at, first)
-            open_at = first
-            for k in range(0 if node.depth < 0 else node.first, last):
-                if begin(k + 1) - open_at > limit:
-                    close(open_at, begin(k))
-                    open_at = begin(k)
-                    if begin(k + 1) - open_at > limit:
-                        close(open_at, begin(k + 1))
-                        open_at = begin(k + 1)
-            at = end
-    close(open_at, max(at, len(data)))
-    return out
-
 
-def cut_pieces(data: bytes, limit: int, overlap: int, headings: bool = False) -> list[tuple[int, int, int]]:
+    def lines(first: int, last: int) -> list[tuple[int, int]]:
+        """Lines that nothing divides, as many as fit together."""
+        out, at = [], begin(first)
+        for k in range(first, last):
+            end = begin(k + 1)
+            if end - at > limit:
+                if at < begin(k):
+                    out.append((at, begin(k)))
+                at = begin(k)
+                for c in _within(data, at, end, limit):
+                    out.append((at, c))
+                    at = c
+        return [*out, (at, begin(last))] if at < begin(last) else out
+
+    def packed(node: _Node, first: int, last: int) -> list[tuple[int, int]]:
+        """The pieces of a subtree, which is one if it fits: its head and its children, merged with their siblings."""
+        if begin(last) - begin(first) <= limit:
+            return [(begin(first), begin(last))]
+        if not node.children:
+            return lines(first, last)
+        out: list[tuple[int, int]] = []
+        whole = False  # whether the last piece holds whole siblings only, and so may take in the next one
+        if first < node.children[0].first:
+            out, whole = lines(first, node.children[0].first), True
+        ends = [c.first for c in node.children[1:]] + [last]
+        for n, (child, end) in enumerate(zip(node.children, ends)):
+            parts = packed(child, child.first, end)
+            if out and whole and (len(parts) == 1 or n == 0) and parts[0][1] - out[-1][0] <= limit:  # a head goes with what it heads
+                out[-1] = (out[-1][0], parts[0][1])
+                out += parts[1:]
+            else:
+                out += parts
+            whole = len(parts) == 1
+        return out
+
+    return packed(structure(data, starts, headings, markup), 0, len(starts))
+
+
+def cut_pieces(data: bytes, limit: int, overlap: int, headings: bool = False, markup: bool = False) -> list[tuple[int, int, int]]:
     """(start, own_start, end) of the pieces: at most `limit` bytes each, of which start to own_start, at most `overlap`
     bytes, are the end of the piece before, from the start of a line where there is one."""
-    own = own_ranges(data, limit - overlap, headings)
+    own = own_ranges(data, limit - overlap, headings, markup)
     out = []
     for k, (a, b) in enumerate(own):
         start = a
@@ -167,12 +195,12 @@ def blind_pieces(size: int, limit: int, overlap: int) -> list[tuple[int, int, in
     return [(max(0, a - (overlap if a else 0)), a, min(size, a + step)) for a in range(0, size, step)]
 
 
-def split_oversized(contents: DataFrame, symbols: DataFrame, *, limit: int = 24_000, overlap: int = 8_000, markup: tuple[str, ...] = ("md", "markdown", "mdx", "rst", "txt")) -> DataFrame:
+def split_oversized(contents: DataFrame, symbols: DataFrame, *, limit: int = 24_000, overlap: int = 8_000, texts: tuple[str, ...] = ("md", "markdown", "mdx", "rst", "txt", "adoc", "text"), markup: tuple[str, ...] = MARKUP) -> DataFrame:
     """item_kind (file or symbol), item_key, piece_no, start_byte, own_start_byte, end_byte and text of all pieces of
     contents and symbols of more than `limit` bytes; places are bytes of the file's content.
 
     Every byte of an item is in a piece, no piece exceeds `limit`, consecutive pieces share up to `overlap` bytes. Files
-    whose extension is in `markup` are divided by headings. Null contents and ids yield no file; empty ones are never
+    whose extension is in `texts`, or that have none, are divided by headings, those in `markup` by elements. Null contents and ids yield no file; empty ones are never
     too large. A symbol that reaches beyond its file, or whose file can't be read, is cut by size, with null text for
     what isn't there. Of several contents of a file the greatest counts; repeated rows count once.
     """
@@ -190,15 +218,16 @@ def split_oversized(contents: DataFrame, symbols: DataFrame, *, limit: int = 24_
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (dict(zip(batch.schema.names, (c[n].as_py() for c in batch.columns))) for n in range(batch.num_rows)):
                 data = (r["content"] or "").encode("utf-8", "surrogatepass")
-                headings = (r["path"] or "").rsplit(".", 1)[-1].lower() in markup
+                ending = (r["path"] or ".").rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in (r["path"] or ".").rsplit("/", 1)[-1] else ""
+                headings, elements = r["path"] is not None and ending in ("", *texts), ending in markup
                 items = [("file", str(r["file_id"]), 0, len(data))] if len(data) > limit else []
                 items += [("symbol", s["id"], s["start_byte"], s["end_byte"]) for s in r["spans"] or ()]
                 rows = []
                 for kind, key, start, end in items:
                     part = data[max(0, start) : end]
-                    pieces = cut_pieces(part, limit, overlap, headings) if len(part) == end - start else blind_pieces(end - start, limit, overlap)
+                    pieces = cut_pieces(part, limit, overlap, headings, elements) if len(part) == end - start else blind_pieces(end - start, limit, overlap)
                     for n, (a, own, b) in enumerate(pieces):
                         text = part[a:b].decode("utf-8", "ignore") if len(part) == end - start else None
                         rows.append((kind, key, n, start + a, start + own, start + b, text))

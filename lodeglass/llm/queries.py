@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeglass.llm.credentials import credentials, mask_credentials
 from lodeglass.llm.documented import documented_functions, with_code
@@ -69,6 +71,16 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_pieces(spark, root).select("item_kind", "item_key").distinct()
 
 
+def p7_cover(spark: SparkSession, root: str) -> DataFrame:
+    """What each item's pieces cover: bytes of its own, pieces within the limit, gaps or overlaps that are too long."""
+    item = Window.partitionBy("item_kind", "item_key").orderBy("piece_no")
+    pieces = p7_pieces(spark, root).withColumn("before", F.lag("end_byte").over(item))
+    wrong = F.col("before").isNotNull() & ((F.col("own_start_byte") != F.col("before")) | (F.col("own_start_byte") - F.col("start_byte") > 8_000) | (F.col("own_start_byte") <= F.col("start_byte")))
+    return pieces.groupBy("item_kind", "item_key").agg(
+        F.sum(F.col("end_byte") - F.col("own_start_byte")).cast("long").alias("bytes"), F.count_if(F.col("end_byte") - F.col("start_byte") > 24_000).cast("long").alias("too_long"), F.count_if(wrong).cast("long").alias("wrong_joins")
+    )
+
+
 def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return pack_documents(table(spark, root, "documents"))
 
@@ -103,10 +115,17 @@ UNION SELECT DISTINCT 'symbol', id FROM symbols WHERE end_byte - start_byte > 24
 """
 
 
+_P7_COVER = """
+SELECT 'file' AS item_kind, CAST(file_id AS VARCHAR) AS item_key, CAST(strlen(max(content)) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS wrong_joins
+FROM file_content WHERE strlen(content) > 24000 AND file_id IS NOT NULL GROUP BY file_id
+UNION ALL SELECT DISTINCT 'symbol', id, CAST(end_byte - start_byte AS BIGINT), 0, 0 FROM symbols WHERE end_byte - start_byte > 24000
+"""
+
+
 def queries() -> dict:
-    own = (p1_found, p1_origins, p2_found, p2_credentials, p2_masked, p4_found, p4_parsed, p4_rates, p4_disagreement, p5_found, p5_pairs, p7_found, p7_pieces, p8_containers, p8_fill, p9_found, p9_passages, p9_items, p10_found, p10_redacted)
+    own = (p1_found, p1_origins, p2_found, p2_credentials, p2_masked, p4_found, p4_parsed, p4_rates, p4_disagreement, p5_found, p5_pairs, p7_found, p7_pieces, p7_cover, p8_containers, p8_fill, p9_found, p9_passages, p9_items, p10_found, p10_redacted)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict:
-    return {"p7_found": _P7}
+    return {"p7_found": _P7, "p7_cover": _P7_COVER}

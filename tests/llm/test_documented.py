@@ -48,3 +48,10 @@ def test_long_headers_keep_their_docstring():
 def test_syntax_of_late_declarations():
     late = "VALUE = 1\n" * 3000 + "\n# Reads all of it.\ndef load(name):\n    return name\n"
     assert [s[4] for s in comment_spans(late.encode(), "a/x.ts")] == ["# Reads all of it."]
+
+
+def test_scripts_without_blanks_and_short_comments():
+    from lodeglass.llm.documented import documentation
+
+    assert documentation("/** \u30d5\u30a1\u30a4\u30eb\u306e\u5185\u5bb9\u3092\u8aad\u307f\u8fbc\u3093\u3067\u89e3\u6790\u3059\u308b */", "parseFile") and documentation("// \u8bfb\u53d6\u6587\u4ef6\u5e76\u8fd4\u56de\u5185\u5bb9", "read")
+    assert documentation("// \u8bfb", "read") is None and documentation("// x", "read") is None

@@ -58,3 +58,23 @@ def test_operator(spark):
         assert pieces[0].start_byte == start and pieces[-1].end_byte == end and all(a.end_byte == b.own_start_byte for a, b in zip(pieces, pieces[1:]))
         assert all((p.text is None) == (key in "uvw") and p.end_byte - p.start_byte <= 24_000 and p.own_start_byte - p.start_byte <= 8_000 for p in pieces)
     assert split_oversized(contents.limit(0), symbols.limit(0)).count() == 0
+
+
+def test_siblings_merge_and_opened_subtrees_stay_apart():
+    small = "".join(f"def s{i}():\n    return {i}\n" for i in range(3))
+    large = "class L:\n" + "".join(f"    def m{i}(self):\n        return {i}\n" for i in range(30))
+    data = (small + large + small).encode()
+    pieces = cut_pieces(data, 200, 0)
+    covers(data, pieces, 200, 0)
+    at = data.find(b"class L"), data.rfind(b"def s0")
+    assert {own for _, own, _ in pieces} >= set(at)  # the head of the class goes with its first methods, its end with none of the functions behind it
+    assert all(data[own:].lstrip().startswith((b"def ", b"class ")) for _, own, _ in pieces)
+
+
+def test_elements_and_underlined_headings():
+    html = ("<ul>\n" + "<li>\n<b>x</b>\n<br>\n</li>\n" * 40 + "</ul>\n").encode()
+    pieces = cut_pieces(html, 120, 0, False, True)
+    covers(html, pieces, 120, 0)
+    assert all(html[own : own + 4] == b"<li>" for _, own, _ in pieces[1:])
+    text = b"".join(b"Part %02d\n=======\n\nSome words here.\n\n" % i for i in range(30))
+    assert all(text[own : own + 4] == b"Part" for _, own, _ in cut_pieces(text, 150, 0, True))
