@@ -7,6 +7,7 @@ kind of anchor has a parser that reads the characters around it, checks the form
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ AT_SIGNS = ("@", " at ", "(at)", "[at]", "{at}", "<at>", " (at) ", " [at] ", " {
 PHONE_CUES = ("+", "tel", "phone", "call", "text", "fax", "mobile", "cell", "number", "message at", "reach", "unter", "ruf", "handy", "appel", "télé", "llam", "whatsapp", "(")
 ID_CUES = (
     "social security", "ssn", "national insurance", "ni number", "ni no", "nino", "steuer-id", "steueridentifikationsnummer", "tax id", "tax number", "tin", "passport", "reisepass", "passeport", "pasaporte", "personalausweis", "ausweisnummer",
-    "dni", "nie", "nif", "numéro de sécurité sociale", "sécurité sociale", "nir", "seguridad social", "id card", "identity card", "identity number", "id number", "driver's license", "driving licence", "sozialversicherungsnummer",
+    "dni", "nie", "nif", "national id", "national identity", "documento nacional", "carte d'identité", "numéro de sécurité sociale", "sécurité sociale", "nir", "seguridad social", "id card", "identity card", "identity number", "id number", "driver's license", "driving licence", "sozialversicherungsnummer",
 )
 STREET_WORDS = (
     "street", "avenue", "lane", "road", "close", "drive", "boulevard", "court", "square", "terrace", "crescent", "highway", " st ", " st.", " st,", " ave", " rd", " blvd", " ln ", " dr ", "straße", "strasse", "str.", "gasse", "allee", "weg ", "platz ",
@@ -34,9 +35,9 @@ STREET_WORDS = (
 NAME_BEFORE = (
     "thanks to", "thank you,", "talked to", "spoke to", "spoke with", "talked with", "met with", "colleague", "reported by", "reported-by:", "reviewed by", "reviewed-by:", "signed-off-by:", "acked-by:", "tested-by:", "co-authored-by:", "assignee:", "assigned to",
     "author:", "reporter:", "reviewer:", "approved by", "written by", "suggested by", "found by", "regards,", "cheers,", "sincerely,", "best wishes,", "grüße,", "grüßen,", "gruß,", "saludos,", "atentamente,", "cordialement,", "salutations,", "amitiés,",
-    "danke an", "dank an", "gesprochen mit", "kollege", "kollegin", "gemeldet von", "merci à", "collègue", "signalé par", "gracias a", "compañero", "compañera", "informado por", "dear ", "hello ", "hi ", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "herr ", "frau ", "monsieur ", "madame ", "señor ", "señora ", "name:", "contact:", "cc ",
+    "danke an", "dank an", "gesprochen mit", "kollege", "kollegin", "gemeldet von", "merci à", "collègue", "signalé par", "gracias a", "compañero", "compañera", "informado por", "dear ", "hello ", "hi ", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "herr ", "frau ", "monsieur ", "madame ", "señor ", "señora ", "name:", "contact:", "cc ", "from:", "contact ", "my name is", "ask ", "this is", "i am ", "i'm ", "mi nombre es", "me llamo", "ich heiße", "mein name ist", "je m'appelle",
 )
-NAME_AFTER = (" wrote", " said on", " schrieb", " a écrit", " escribió", " asked on", " replied", " commented")
+NAME_AFTER = (" wrote", " said on", " schrieb", " a écrit", " escribió", " asked on", " replied", " commented", " pointed out", " mentioned", " explained", " suggested", " confirmed", " noticed", " told me", " hat geschrieben", " fragte", " a signalé", " preguntó")
 #: Endings that a host part has in file names, not in mail domains.
 _FILE_ENDS = frozenset("png jpg jpeg gif svg webp css js ts tsx jsx py go java json md txt html xml yml yaml sh lock map".split())
 
@@ -47,7 +48,7 @@ _SPELLED = re.compile(rf"([A-Za-z0-9\-]{{1,63}}(?:{_SEP}[A-Za-z0-9\-]{{1,63}})+)
 _DOT = re.compile(_SEP)
 _INTERNATIONAL = re.compile(r"\+[1-9]\d{0,2}(?:[ .\-/]?\(?\d{1,4}\)?){1,7}(?![\w])")
 _EXTENSION = re.compile(r"\s?(?:ext\.?|x|extension|durchwahl)\s?\d{1,6}\b", re.I)
-_NATIONAL = re.compile(r"(?<![\w.+\-])(?:1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}|\(\d{3,5}\)[ \-]?\d{3}[-. ]?\d{3,5}|\d{3}[-. ]\d{3}[-. ]\d{4}|0\d(?:[ .\-]?\d{2}){4}|0\d{2,5}[ /\-]\d{3,8}(?:[ \-]\d{1,6})?|0\d{9,11}|\d{3}-\d{4})(?![\w\-]|\.\d)")
+_NATIONAL = re.compile(r"(?<![\w.+\-])(?:1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}|\(\d{3,5}\)[ \-]?\d{3}[-. ]?\d{3,5}|\d{3}[-. ]\d{3}[-. ]\d{4}|0\d(?:[ .\-]?\d{2}){4}|0\d{2,5}[ /\-]\d{3,8}(?:[ \-]\d{1,6})?|0\d{9,11}|1?[2-9]\d\d[2-9]\d{6}|\d{3}-\d{4})(?![\w\-]|\.\d)")
 _GAP = re.compile(r"(?:\s|[:.=#()'\"\-]|\b(?:no|nr|n[°º]|num|number|numbers?|is|was|me|us|him|her|them|at|on|under|unter|bitte|please|again|us|to|und|oder|or|im|back|ist|lautet|es|est|el|le|al|au)\b\.?)*", re.I)
 _ID_VALUES = re.compile(
     r"(?<![\w\-])(?:\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{2} ?\d{3} ?\d{3} ?\d{3}|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?|[A-Z]\d{8}|[A-Z]{1,2}\d{6,9}|[CFGHJKLMNPRTVWXYZ][0-9A-Z]{8}|\d{9}|\d{11})(?![\w\-])"
@@ -57,11 +58,12 @@ _ID_BEFORE = re.compile(r"\s(?:in the|as|im|in der|dans la|en la|is the|is my|,)
 
 _NUM = r"\d{1,5}(?:[ ]?[a-zA-Z](?![\w]))?(?:[-/]\d{1,4})?"
 _CAP = r"[A-ZÀ-Þ][\w'’\-]*"
-_TOWN = rf"{_CAP}(?:[ ](?:(?:am|an der|de|del|de la|sur|upon|of)[ ])?{_CAP})?"
+_POSTCODE = r"[A-Z]{1,2}\d[\dA-Z]?[ ]\d[A-Z]{2}"
+_TOWN = rf"{_CAP}(?:[ ](?:(?:am|an der|de|del|de la|sur|upon|of)[ ])?(?!{_POSTCODE}){_CAP})?"
 _ADDRESSES = [
     re.compile(p)
     for p in (
-        rf"(?:(?:Flat|Unit|Apt\.?|Apartment|Suite)[ ]\w{{1,4}},[ ])?{_NUM}[ ]{_CAP}(?:[ ]{_CAP}){{0,3}}?[ ](?:Street|Avenue|Lane|Road|Close|Drive|Boulevard|Court|Square|Terrace|Crescent|Highway|Way|Place|St\.?|Ave\.?|Rd\.?|Blvd\.?|Ln\.?|Dr\.?)(?:[ ,]+(?:Apt\.?|Unit|Suite|Flat|#)[ ]?\w{{1,5}})?,\s{_TOWN}(?:,?\s(?:[A-Z]{{2}}\s)?\d{{4,6}}(?:-\d{{4}})?|\s[A-Z]{{1,2}}\d[\dA-Z]?[ ]\d[A-Z]{{2}})?",
+        rf"(?:(?:Flat|Unit|Apt\.?|Apartment|Suite)[ ]\w{{1,4}},[ ])?{_NUM}[ ]{_CAP}(?:[ ]{_CAP}){{0,3}}?[ ](?:Street|Avenue|Lane|Road|Close|Drive|Boulevard|Court|Square|Terrace|Crescent|Highway|Way|Place|St\.?|Ave\.?|Rd\.?|Blvd\.?|Ln\.?|Dr\.?)(?:[ ,]+(?:Apt\.?|Unit|Suite|Flat|#)[ ]?\w{{1,5}})?,\s{_TOWN}(?:,?\s(?:[A-Z]{{2}}\s)?\d{{4,6}}(?:-\d{{4}})?|,?\s{_POSTCODE})?",
         rf"{_NUM},?[ ](?:bis |ter )?(?:rue|avenue|boulevard|chemin|place|allée|impasse|quai|cours)(?:[ ](?:de la|de l'|de|du|des|d'|{_CAP}))*(?:[ ]?{_CAP})?,\s\d{{4,6}}\s{_TOWN}",
         rf"(?:{_CAP}(?:straße|strasse|str\.|gasse|allee|weg|platz)|(?:{_CAP}[ ])(?:Straße|Strasse|Allee|Weg|Platz|Gasse)|(?:Am|An der|Auf dem|Im|Zum|Zur)[ ]{_CAP}(?:[ ]{_CAP})?)[ ]{_NUM},\s(?:[A-Z]{{1,2}}-)?\d{{4,6}}\s{_TOWN}",
         rf"(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino)(?:[ ](?:del|de la|de los|de las|de|la|el|{_CAP}))*[ ]{_NUM},\s\d{{4,6}}\s{_TOWN}",
@@ -127,6 +129,11 @@ def _email(text: str, at: int, end: int) -> tuple[int, int] | None:
     return start, m.end()
 
 
+def _differs(value: str) -> bool:
+    """Whether the digits of a number aren't all the same."""
+    return len(set(filter(str.isdigit, value))) > 1
+
+
 def _plausible(digits: str) -> bool:
     return len(set(digits)) > 2
 
@@ -166,11 +173,11 @@ def _identity(text: str, at: int, end: int) -> tuple[int, int] | None:
         return None
     m = _ID_VALUES.match(text, _ID_GAP.match(text, end).end())
     if m:
-        return m.span()
+        return m.span() if _differs(m.group()) else None
     head = text[max(0, at - 60) : at]
     if link := _ID_BEFORE.search(head):
         values = [v for v in _ID_VALUES.finditer(head, 0, link.start()) if v.end() == link.start()]
-        if values:
+        if values and _differs(values[-1].group()):
             base = max(0, at - 60)
             return base + values[-1].start(), base + values[-1].end()
     return None
@@ -240,9 +247,10 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 found.add((*span, "name" if kind == "name_after" else kind))
     out: list[tuple[int, int, str]] = []
     for s in sorted(found, key=lambda x: (RANK[x[2]], x[0] - x[1], x[0])):
-        if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
-            out.append(s)
-    return sorted(out)
+        n = bisect_left(out, s)
+        if (n == 0 or out[n - 1][1] <= s[0]) and (n == len(out) or s[1] <= out[n][0]):
+            out.insert(n, s)
+    return out
 
 
 def redacted(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -262,8 +270,10 @@ def personal_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         for batch in batches:
             rows = []
             for n, t in enumerate(batch.column(1).to_pylist()):
+                line, at = 1, 0
                 for start, end, kind in spans(t) if t else ():
-                    rows.append((n, kind, t.count("\n", 0, start) + 1, start, end, t[start:end]))
+                    line, at = line + t.count("\n", at, start), start
+                    rows.append((n, kind, line, start, end, t[start:end]))
             if rows:
                 at, kind, line, start, end, value = zip(*rows)
                 ints = [pa.array(x, pa.int32()) for x in (line, start, end)]

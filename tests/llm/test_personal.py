@@ -38,3 +38,20 @@ def test_operator(spark):
     out = {r.doc_id: (r.text, r.pii_found) for r in redact_personal(docs).collect()}
     assert out == {1: ("a\nCall [PHONE] now\r\nSSN [ID_NUMBER]", 2), 2: ("", 0), 3: (None, None)}
     assert personal_spans(docs.limit(0)).count() == 0 and redact_personal(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, kind, value", [
+    ("Contact John Smith today", "name", "John Smith"), ("My name is Anna Kowalska.", "name", "Anna Kowalska"), ("as Maria Garcia pointed out", "name", "Maria Garcia"), ("from: José Nuñez", "name", "José Nuñez"), ("Please ask Li Wei", "name", "Li Wei"),
+    ("at 12 High Street, London NW1 6XE today", "address", "12 High Street, London NW1 6XE"), ("I left a message at 2025550141 yesterday", "phone", "2025550141"), ("Row 3 shows 00008022M in the national id column", "id_number", "00008022M"),
+])
+def test_context_and_shape(text, kind, value):
+    assert [(k, text[a:b]) for a, b, k in spans(text)] == [(kind, value)]
+
+
+def test_numbers_of_one_digit_are_none():
+    assert spans("SSN 000-00-0000 and passport no. X00000000") == []
+
+
+def test_many_finds_in_one_text():
+    text = "Call 555-0135 now, mail a.b@c.test. " * 4000
+    assert len(spans(text)) == 8000
