@@ -89,25 +89,25 @@ def dependency_picks(index: CodeIndex, edges: DataFrame | None = None) -> DataFr
     specifier the first symbol of its name in the target, or, if no specifier of a statement finds one, the symbol that
     stands for the target."""
     edges = imports_by_edge(index) if edges is None else edges
-    symbols = unique_symbols(index.symbols)
-    keyed = edges.withColumn("statement", F.xxhash64(F.to_json("specifiers")))
-    asked = keyed.select("importer_path", "target_path", "source", "statement", F.posexplode("specifiers").alias("pos", "s")).select("*", F.col("s.importedName").alias("wanted")).drop("s")
-    order = F.struct((~F.coalesce(F.col("exported"), F.lit(False))).alias("a"), F.col("start_line").alias("b"), F.col("id").alias("id"))
-    named = [symbols.where(F.col(c).isNotNull()).select(F.col("file_path").alias("target_path"), F.col(c).alias("wanted"), order.alias("o")) for c in ("name", "qualified_name")]
-    by_name = named[0].unionByName(named[1]).groupBy("target_path", "wanted").agg(F.min("o")["id"].alias("id"))
+    symbols = index.symbols.where("id is not null").select("id", "file_path", "name", "qualified_name", "kind", "start_line", "exported")  # repeated rows don't change a minimum
     key = ["importer_path", "target_path", "source", "statement"]
-    picked = asked.join(by_name, ["target_path", "wanted"]).select(*key, "pos", "id")
-    rest = keyed.join(picked.select(*key).distinct(), key, "left_anti").select(*key)
-    stand_in = rest.join(representative_symbols(symbols).withColumnRenamed("file_path", "target_path"), "target_path").select(*key, F.lit(0).alias("pos"), "id")
+    asked = edges.withColumn("statement", F.xxhash64("specifiers")).select(*key, F.posexplode_outer("specifiers").alias("pos", "s")).select(*key, "pos", F.col("s.importedName").alias("wanted"))
+    order = F.struct((~F.coalesce(F.col("exported"), F.lit(False))).alias("a"), F.col("start_line").alias("b"), F.col("id").alias("id"))
+    names = F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("wanted")
+    by_name = symbols.select(F.col("file_path").alias("target_path"), names, order.alias("o")).where("wanted is not null").groupBy("target_path", "wanted").agg(F.min("o")["id"].alias("id"))
+    found = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id"))).alias("found")  # of one statement
+    statements = asked.join(by_name, ["target_path", "wanted"], "left").groupBy(*key).agg(found)
+    stand_in = representative_symbols(symbols).select(F.col("file_path").alias("target_path"), F.array(F.struct(F.lit(0).alias("pos"), "id")).alias("stand_in"))
+    meant = F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("stand_in"))).alias("m")
     reason = F.when(F.col("source").startswith("."), "imports_matched_file").otherwise("reexport_match")
-    every = picked.unionByName(stand_in).select("importer_path", "id", F.struct("target_path", "source", "pos").alias("place"), reason.alias("reason"))
+    every = statements.join(stand_in, "target_path", "left").select("importer_path", "target_path", "source", meant).select("importer_path", "m.id", F.struct("target_path", "source", "m.pos").alias("place"), reason.alias("reason"))
     return every.groupBy("importer_path", "id").agg(F.min(F.struct("place", "reason")).alias("m")).select("importer_path", "id", "m.reason", "m.place")
 
 
 def importer_picks(index: CodeIndex) -> DataFrame:
     """target_path, id, reason and place of the symbols that stand for the files importing a target."""
     edges = index.dependencies.select("importer_path", "target_path").distinct()
-    stand = representative_symbols(unique_symbols(index.symbols)).withColumnRenamed("file_path", "importer_path")
+    stand = representative_symbols(index.symbols.where("id is not null")).withColumnRenamed("file_path", "importer_path")
     return edges.join(stand, "importer_path").select("target_path", "id", F.lit("imported_by_match").alias("reason"), F.col("importer_path").alias("place"))
 
 
@@ -116,7 +116,7 @@ def reference_picks(index: CodeIndex, edges: DataFrame | None = None) -> DataFra
     something."""
     edges = imports_by_edge(index) if edges is None else edges
     named = edges.select("importer_path", "target_path", F.explode("specifiers").alias("s")).select("importer_path", "target_path", F.col("s.importedName").alias("name")).distinct()
-    stand = representative_symbols(unique_symbols(index.symbols)).withColumnRenamed("file_path", "importer_path")
+    stand = representative_symbols(index.symbols.where("id is not null")).withColumnRenamed("file_path", "importer_path")
     return named.join(stand, "importer_path").select("target_path", "name", "id", F.lit("references_match").alias("reason"), F.col("importer_path").alias("place"))
 
 

@@ -13,7 +13,7 @@ from lodeglass.functions.text import dirname, path_matches, token_estimate
 from lodeglass.operators import context, graph, health, outline, report
 from lodeglass.operators.extract import parse_symbols
 from lodeglass.operators.graph import CodeIndex
-from lodeglass.operators.postings import bm25
+from lodeglass.operators.postings import bm25, bm25_from_postings, build_postings
 from lodeglass.operators.ranking import symbol_score
 from lodeglass.operators.search import ranked_symbols, search_envelope, search_symbols, search_text, unique_symbols
 from lodeglass.schema import SPECIFIER, EngineConfig
@@ -55,6 +55,14 @@ def symbol_bm25(spark, root):
     return scored.select("id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
+def symbol_bm25_postings(spark, root):
+    """The same from stored postings: searches read the ranges of terms that hold their prefixes, and no symbols."""
+    symbols = unique_symbols(table(spark, root, "symbols"))
+    postings, lengths = build_postings(symbols)
+    scored = bm25_from_postings(cut(postings.repartitionByRange("term", "id")), cut(lengths), PHRASE)
+    return scored.select("id", F.round("bm25_score", 6).alias("bm25_score"))
+
+
 def symbol_scores(spark, root):
     scored = unique_symbols(table(spark, root, "symbols")).select("id", symbol_score(WORD).cast("bigint").alias("score"))
     return scored.where("score > 0")
@@ -192,7 +200,7 @@ def trade_index(spark: SparkSession, root: str) -> CodeIndex:
 def stored_trade_index(spark: SparkSession, root: str) -> CodeIndex:
     """The same with its tables stored, as an index has them; expansions read them several times."""
     i = trade_index(spark, root)
-    return CodeIndex(i.files, i.contents, cut(i.symbols), i.imports, cut(i.dependencies))
+    return CodeIndex(i.files, i.contents, cut(i.symbols), cut(i.imports), cut(i.dependencies))
 
 
 def representatives(spark, root):
@@ -200,7 +208,7 @@ def representatives(spark, root):
 
 
 def dependency_picks(spark, root):
-    picks = graph.dependency_picks(trade_index(spark, root))
+    picks = graph.dependency_picks(stored_trade_index(spark, root))
     return picks.groupBy("importer_path").agg(F.count("*").cast("bigint").alias("picks"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
@@ -230,8 +238,10 @@ def discovered_symbols(spark, root):
 
 
 def direct_importers(spark, root):
+    """Importers of the files whose suppliers have no money left."""
     index = trade_index(spark, root)
-    return graph.direct_importers(index.dependencies, index.files.where("path like 'suppliers/s1%'").select("path"))
+    poor = table(spark, root, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("suppliers/s"), F.col("s_suppkey").cast("string"), F.lit(".ts")).alias("path"))
+    return graph.direct_importers(index.dependencies, poor)
 
 
 # -- context
@@ -398,7 +408,7 @@ def flagship(spark: SparkSession, root: str) -> DataFrame:
 
 
 _QUERIES = (
-    symbol_search, symbol_search_fallback, symbol_search_intent, symbol_bm25, symbol_scores, symbol_matches, search_result_envelope, text_search, text_search_narrowed, document_lines, file_search, glob_filter,
+    symbol_search, symbol_search_fallback, symbol_search_intent, symbol_bm25, symbol_bm25_postings, symbol_scores, symbol_matches, search_result_envelope, text_search, text_search_narrowed, document_lines, file_search, glob_filter,
     repo_outline, file_tree, query_suggestions, file_summaries, symbol_sources, language_support, content_verification, integrity_verification, token_estimates, redacted_contents,
     extracted_symbols, extracted_imports, resolved_dependencies, representatives, dependency_picks, importer_picks, reference_picks, graph_expansion, discovered_symbols, direct_importers,
     bundle_items, bundle_summary, ranked_candidates, task_context, parser_health, parser_fallback_reasons, summary_source_counts, privacy_files, privacy_health, broken_imports, broken_specifiers, snapshot_drift, unmapped_files,

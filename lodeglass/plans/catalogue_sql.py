@@ -147,6 +147,7 @@ SELECT row_number() OVER (ORDER BY {_ORDER})::INTEGER AS rank, id, name, file_pa
 WITH {_S}, r AS (SELECT *, {_score('generated message', ['generated', 'message'], True)} AS score FROM s WHERE {_like(['generated message', 'generated', 'message'])})
 SELECT row_number() OVER (ORDER BY {_ORDER})::INTEGER AS rank, id, name, file_path, score FROM r WHERE score > 0 ORDER BY 1 LIMIT 8""",
     "symbol_bm25": f"WITH {_bm25(_PHRASES)} SELECT id, round(bm25, 6) AS bm25_score FROM b",
+    "symbol_bm25_postings": f"WITH {_bm25(_PHRASES)} SELECT id, round(bm25, 6) AS bm25_score FROM b",
     "symbol_scores": f"WITH {_S} SELECT id, {_score('session', ['session'])} AS score FROM s WHERE {_score('session', ['session'])} > 0",
     "symbol_matches": _RANKED_WORD + "SELECT id, score, round(bm25, 6) AS bm25_score, reason FROM x",
     "search_result_envelope": _RANKED_WORD + f""",
@@ -209,7 +210,7 @@ SELECT 0 AS depth, count(*) AS symbols FROM d0 UNION ALL SELECT 1, count(*) FROM
 WITH {_TRADE}, d0 AS (SELECT id, file_path FROM sym WHERE id IN ('c1', 'c2')), r1 AS (SELECT DISTINCT d.id FROM d0 z JOIN dep d ON d.importer_path = z.file_path)
 SELECT id, 0 AS depth, 'explicit_symbol_id' AS reasons, file_path, line::INTEGER AS start_line, exported FROM sym WHERE id IN ('c1', 'c2')
 UNION ALL SELECT id, 1, 'imports_matched_file', file_path, line::INTEGER, exported FROM sym WHERE id IN (SELECT id FROM r1)""",
-    "direct_importers": f"WITH {_TRADE} SELECT DISTINCT importer_path AS path FROM edge WHERE target_path LIKE 'suppliers/s1%'",
+    "direct_importers": f"WITH {_TRADE} SELECT DISTINCT importer_path AS path FROM edge WHERE target_path IN (SELECT 'suppliers/s' || s_suppkey || '.ts' FROM supplier WHERE s_acctbal < 0)",
     "bundle_items": f"""
 WITH {_TRADE}, k AS (SELECT importer_path, id, min(struct_pack(t := target_path, p := name)) AS place FROM dep WHERE importer_path IN ('customers/c1.ts', 'customers/c2.ts') GROUP BY 1, 2),
 o AS (SELECT id, 0 AS depth, id AS parent, '' AS t, '' AS p FROM sym WHERE id IN ('c1', 'c2') UNION ALL SELECT id, 1, CASE importer_path WHEN 'customers/c1.ts' THEN 'c1' ELSE 'c2' END, place.t, place.p FROM k),
