@@ -43,11 +43,12 @@ def _score(parts: Sequence[tuple[Column, Column]], length: Column, mean: Column)
     return -reduce(lambda a, b: a + b, (idf * f * (K1 + 1) / (f + norm) for idf, f in parts))
 
 
-def bm25(symbols: DataFrame, query: str) -> DataFrame:
+def bm25(symbols: DataFrame, query: str, key: str | None = None) -> DataFrame:
     """The symbols with bm25_score, null for those without a hit; all null if the query has no phrase.
 
     One scan of the symbols for the global numbers, which are one row, and one for the scores; nothing is shuffled.
-    Null columns have no words. Repeated rows count as often as they come.
+    Null columns have no words. Repeated rows count as often as they come, unless `key` tells them apart: then each key
+    counts once in the global numbers, for which key and numbers alone are shuffled, and every row gets its score.
     """
     found = phrases(query)
     if not found:
@@ -56,7 +57,9 @@ def bm25(symbols: DataFrame, query: str) -> DataFrame:
     weighted = [reduce(lambda a, b: a + b, (F.lit(w) * _hits(tokens[c], p) for c, w in COLUMN_WEIGHTS.items())) for p in found]
     length = reduce(lambda a, b: a + b, (F.size(t) for t in tokens.values())).cast("double")
     counted = symbols.select("*", length.alias("_length"), *(f.alias(f"_f{k}") for k, f in enumerate(weighted)))
-    totals = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(f"_f{k}") > 0).cast("double").alias(f"_n{k}") for k in range(len(found))))
+    numbers = ["_length", *(f"_f{k}" for k in range(len(found)))]
+    once = counted if key is None else counted.groupBy(key).agg(*(F.max(c).alias(c) for c in numbers))
+    totals = once.agg(F.count("*").cast("double").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(f"_f{k}") > 0).cast("double").alias(f"_n{k}") for k in range(len(found))))
     joined = counted.join(F.broadcast(totals))  # one row
     any_hit = reduce(lambda a, b: a | b, (F.col(f"_f{k}") > 0 for k in range(len(found))))
     score = _score([(_idf(F.col("_n"), F.col(f"_n{k}")), F.col(f"_f{k}")) for k in range(len(found))], F.col("_length"), F.col("_mean"))

@@ -37,19 +37,20 @@ def ranked_symbols(symbols: DataFrame, query: str, *, files: DataFrame | None =
     a column. Where it finds nothing, the columns alone decide. Rows need a score above 0; a blank query finds nothing.
     """
     validation.kind_and_language(kind, language)
-    scored = bm25(unique_symbols(symbols), "" if has_intent(query) else query)
+    # repeated rows are told apart among what is found, not in the whole table
+    scored = bm25(symbols.where("id is not null").select(*_COLUMNS), "" if has_intent(query) else query, "id")
     filtered = with_language(scored, files, language)
     if kind is not None:
         filtered = filtered.where(F.col("kind") == kind)
     wanted = filtered.where(matches_any_column(query))
     if not has_intent(query) and phrases(query):
-        best = filtered.where("bm25_score is not null").orderBy(F.col("bm25_score").asc(), F.col("id").asc()).select("id").limit(config.limits.symbol_candidates)
+        best = filtered.where("bm25_score is not null").select("id", "bm25_score").distinct().orderBy(F.col("bm25_score").asc(), F.col("id").asc()).select("id").limit(config.limits.symbol_candidates)
         count = best.agg(F.count("*").alias("_hits"))
         marked = wanted.join(best.withColumn("_hit", F.lit(True)), "id", "left").join(F.broadcast(count))  # one row
         wanted = marked.where("_hits = 0 or _hit").withColumn("bm25_score", F.when(F.col("_hits") > 0, F.col("bm25_score"))).select(*scored.columns)
     if file_pattern:
         wanted = wanted.where(path_matches("file_path", [file_pattern]))
-    return wanted.withColumn("score", symbol_score(query, config.weights, config.presets)).withColumn("reason", match_reason(query)).where("score > 0")
+    return wanted.withColumn("score", symbol_score(query, config.weights, config.presets)).withColumn("reason", match_reason(query)).where("score > 0").distinct()
 
 
 def search_symbols(symbols: DataFrame, query: str, *, limit: int | None = None, config: EngineConfig = EngineConfig(), **options) -> DataFrame:

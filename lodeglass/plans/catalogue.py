@@ -51,8 +51,8 @@ def symbol_search_intent(spark, root):
 
 
 def symbol_bm25(spark, root):
-    scored = bm25(unique_symbols(table(spark, root, "symbols")), PHRASE).where("bm25_score is not null")
-    return scored.select("id", F.round("bm25_score", 6).alias("bm25_score"))
+    scored = bm25(table(spark, root, "symbols").where("id is not null"), PHRASE, "id").where("bm25_score is not null")
+    return scored.select("id", F.round("bm25_score", 6).alias("bm25_score")).distinct()
 
 
 def symbol_bm25_postings(spark, root):
@@ -64,8 +64,8 @@ def symbol_bm25_postings(spark, root):
 
 
 def symbol_scores(spark, root):
-    scored = unique_symbols(table(spark, root, "symbols")).select("id", symbol_score(WORD).cast("bigint").alias("score"))
-    return scored.where("score > 0")
+    scored = table(spark, root, "symbols").where("id is not null").select("id", symbol_score(WORD).cast("bigint").alias("score"))
+    return scored.where("score > 0").distinct()
 
 
 def symbol_matches(spark, root):
