@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from lodeglass.functions import validation
 from lodeglass.functions.codec import SYMBOL_FIELDS
-from lodeglass.functions.text import dirname, path_matches, phrases, token_estimate
+from lodeglass.functions.text import dirname, path_matches, phrases
 from lodeglass.operators.postings import bm25, content_hits
 from lodeglass.operators.ranking import has_intent, match_reason, matches_any_column, symbol_order, symbol_score
 from lodeglass.schema import EngineConfig
@@ -143,7 +143,3 @@ def search_many(symbols: DataFrame, queries: Sequence[str], *, config: EngineCon
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def text_tokens(col: str) -> Column:
-    return token_estimate(col)

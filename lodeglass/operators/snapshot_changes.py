@@ -139,8 +139,8 @@ def snapshot_changes(entries: DataFrame, *, rows_per_bucket: int = 2048, cells:
     Within a snapshot the row received last counts; a null received_at is earliest, ties go to the greater hash. Rows
     without repository, number or path name no entry and are left out.
 
-    Rows are shuffled on (repository, bucket) once and kept there, in memory or on disk, until the cache is cleared; what
-    a lost executor held is read again. A repository of any size is spread over as many buckets as its largest snapshot
+    Rows are shuffled on (repository, bucket) once and kept there, in memory or on disk, until the changes are stored in
+    the shared folder; what a lost executor held is read again. A repository of any size is spread over as many buckets as its largest snapshot
     needs. Groups gathered in one place are the non-zero cells of a bucket, (hashes * cells * 4^level) at most.
     """
     spark = entries.sparkSession
@@ -192,7 +192,9 @@ def snapshot_changes(entries: DataFrame, *, rows_per_bucket: int = 2048, cells:
     at = keys.select("repository_id", "bucket", "kh", F.when(F.col("sign") > 0, F.col("snapshot_no")).otherwise(F.col("prev_no")).alias("at_no"), F.col("snapshot_no").alias("later_no"), "change")
     few = at.limit(broadcast_rows + 1).count() <= broadcast_rows
     named = rows.select("repository_id", "bucket", F.col("snapshot_no").alias("at_no"), "path", "kh").join(F.broadcast(at) if few else at, ["repository_id", "bucket", "at_no", "kh"])
-    return named.select("repository_id", F.col("later_no").alias("snapshot_no"), "path", "change")
+    changes = cut(named.select("repository_id", F.col("later_no").alias("snapshot_no"), "path", "change"))
+    rows.unpersist()
+    return changes
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

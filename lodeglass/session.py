@@ -19,11 +19,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset a temporary one, which only a local
+    session can use: on a cluster it is an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if current.isEmpty():
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodeglass-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
